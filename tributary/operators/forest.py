@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.operators.reports import quantile_by_position
 from tributary.operators.scoring import FOREST_INPUTS, forest_column, model_inputs
 
 # Rows per tree, depth limit, trees, shares of outliers of the primary and the shadow model.
@@ -76,19 +77,20 @@ def _input_columns() -> list[Column]:
 
 
 def train_isolation_forest(
-    vectors: DataFrame, id_column: str = "event_id", trees: int = TREES, seed: int = 7
+    vectors: DataFrame, rows: int, id_column: str = "event_id", trees: int = TREES, seed: int = 7
 ) -> DataFrame:
     """Nodes of ``trees`` trees as a DataFrame, each grown in its own group.
 
-    A row belongs to the sample of a tree when its hash for that tree is among the tree's 256
-    smallest; the ranking is cut inside every map task before the shuffle, so a task sends at most
-    256 rows per tree however many rows it reads.
+    A tree's sample is drawn in two steps by hashes of the row id: a pool shared by all trees (about
+    twice what they need together, out of ``rows``), and per tree the pool's 256 smallest hashes, cut inside
+    every map task before the shuffle. The trees thus see at most 256 rows each, drawn from all rows.
     """
     names = [f"x{i}" for i in range(len(FOREST_INPUTS))]
-    rows = vectors.select(F.col(id_column).alias("id"), *_input_columns())
-    spread = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    order = F.xxhash64(F.col("id"), F.col("tree"), F.lit(seed))
-    window = Window.partitionBy("tree").orderBy(order, "id")
+    share = min(1.0, 2.0 * trees * SAMPLE / max(rows, 1))
+    drawn = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
+    pool = vectors.select(F.col(id_column).alias("id"), *_input_columns()).filter(drawn)
+    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    window = Window.partitionBy("tree").orderBy(F.xxhash64("id", "tree", F.lit(seed)), "id")
     samples = spread.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= SAMPLE)
 
     def grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
@@ -150,19 +152,20 @@ def _with_anomaly(vectors: DataFrame, forest: Forest, name: str) -> DataFrame:
 
 
 def forest_offset(vectors: DataFrame, forest: Forest, contamination: float) -> float:
-    """Score below which the given share of training rows falls (exact, linear between rows).
-
-    Scores are rounded to 12 digits and counted before the percentile, so its state is bounded by the
-    number of distinct scores.
-    """
-    scored = _with_anomaly(vectors, forest, "_anomaly").select(F.round(-F.col("_anomaly"), 12).alias("s"))
-    counts = scored.groupBy("s").agg(F.count("*").alias("n"))
-    return counts.agg(F.percentile("s", F.lit(contamination), F.col("n")).alias("offset")).first()["offset"]
+    """Score below which the given share of training rows falls: exact, linear between two rows."""
+    scored = _with_anomaly(vectors, forest, "_anomaly").select(F.lit(0).alias("one"), (-F.col("_anomaly")).alias("s"))
+    pick = lambda upper: quantile_by_position(
+        scored, ["one"], "s", contamination, widths=(1e-3, 1e-6), upper=upper
+    ).select(F.lit(upper).alias("upper"), "s")
+    found = {r["upper"]: r["s"] for r in pick(False).unionByName(pick(True)).collect()}
+    place = contamination * (scored.count() - 1)
+    return found[False] + (found[True] - found[False]) * (place - int(place))
 
 
 def fit_forest(vectors: DataFrame, trees: int = TREES, seed: int = 7) -> Forest:
     """Train and load; an action, as fitting is."""
-    return load_forest(train_isolation_forest(vectors, trees=trees, seed=seed), vectors.count())
+    rows = vectors.count()
+    return load_forest(train_isolation_forest(vectors, rows, trees=trees, seed=seed), rows)
 
 
 def with_forest_raw(vectors: DataFrame, forest: Forest, offsets: dict[str, float]) -> DataFrame:

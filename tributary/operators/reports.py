@@ -218,9 +218,9 @@ def _reach(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def quantile_by_position(
-    df: DataFrame, keys: list[str], value: str, q: float, widths: tuple[float, ...] = (1.0, 0.001)
+    df: DataFrame, keys: list[str], value: str, q: float, widths: tuple[float, ...] = (1.0, 0.001), upper: bool = False
 ) -> DataFrame:
-    """Per key the value at sorted position floor(q * (n - 1)), exactly.
+    """Per key the value at sorted position floor(q * (n - 1)), or its ceiling with ``upper``; exact.
 
     Few keys with very many rows must not be sorted in one task each. Equal values are counted
     first; each pass then counts per bucket of a finer width, finds the bucket that holds the
@@ -228,7 +228,9 @@ def quantile_by_position(
     """
     counted = df.groupBy(*keys, F.col(value).alias("_value")).agg(F.count("*").alias("_count"))
     sizes = counted.groupBy(*keys).agg(F.sum("_count").alias("_n"))
-    targets = sizes.select(*keys, F.floor(F.lit(q) * (F.col("_n") - 1)).cast("bigint").alias("_position"))
+    position = F.lit(q) * (F.col("_n") - 1)
+    position = F.ceil(position) if upper else F.floor(position)
+    targets = sizes.select(*keys, position.cast("bigint").alias("_position"))
     left = counted
     for i, width in enumerate(widths):
         bucket = f"_bucket{i}"
