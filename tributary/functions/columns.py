@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,3 +59,13 @@ def stable_id(*parts: Column | str) -> Column:
 def partition_key() -> Column:
     """The entity an event belongs to: patient, else resource, else source, else the event itself."""
     return first_non_blank(F.col("patient_id"), F.col("resource_id"), F.col("source_id"), F.col("event_id"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, with every column computed here.
+
+    A filter on a computed column is pushed below the projections that compute it, which copies their
+    expressions into the filter (a JSON text would be parsed once more per row). It cannot pass a
+    generator's own output, so each row goes through one.
+    """
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")

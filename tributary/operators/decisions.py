@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.columns import round_even, stable_id
+from tributary.functions.columns import round_even, settled, stable_id
 from tributary.operators.dedup import keep_first
 from tributary.operators.registry import WEIGHTS
 from tributary.operators.scoring import feature
@@ -217,7 +217,7 @@ def decide(scored: DataFrame) -> DataFrame:
     """One decision per scored event; row-local, so it runs unchanged on a stream."""
     parts = _with_components(scored).withColumns({"_score": decision_score(), "_confidence": decision_confidence()})
     judged = parts.withColumn("severity", escalate(F.col("_severity"), F.col("_score")))
-    return judged.select(
+    rows = judged.select(
         stable_id("decision", F.col("event_id")).alias("id"),
         "event_id",
         "event_type",
@@ -235,6 +235,7 @@ def decide(scored: DataFrame) -> DataFrame:
         "arrival_time",
         F.col("arrival_time").alias("created_at"),
     )
+    return settled(rows)
 
 
 def dedup_decisions(decisions: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.columns import seconds_between, stable_id
+from tributary.functions.columns import seconds_between, settled, stable_id
 from tributary.schema import (
     EVENT_COLUMNS,
     ID_LENGTHS,
@@ -265,10 +265,7 @@ def check_events(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         _storage_failure(),
     )
     judged = judged.withColumns({"failure": failure, "attributes": _with_defaults()})
-    # A filter on any output column would be pushed below the parse and would parse the text again
-    # for itself; filters cannot pass a generator's own output, so the row goes through one.
-    row = F.struct(*EVENT_COLUMNS, "wire_event_id", "failure")
-    return judged.select(F.explode(F.array(row)).alias("_row")).select("_row.*")
+    return settled(judged.select(*EVENT_COLUMNS, "wire_event_id", "failure"))
 
 
 def valid_events(checked: DataFrame) -> DataFrame:

@@ -1,7 +1,14 @@
-"""The stages put together over the driver's tables; every step is lazy and returns a DataFrame."""
+"""The stages put together over the driver's tables.
+
+Accepted events, feature vectors, predictions and decisions are stage tables: each is written once per session
+to the shared folder and read from there, so that a query on a late stage neither parses the messages
+again nor carries the whole lineage. All other steps are lazy.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +21,7 @@ from tributary.operators.features import feature_vectors
 from tributary.operators.registry import route_models
 from tributary.operators.scoring import RiskModel, attach_call_log, forest_column, predict, prediction_rows, scorers
 from tributary.operators.validate import check_events, quarantine_rows, valid_events
+from tributary.session import shared_folder
 from tributary.settings import DEFAULTS
 from tributary.sources.tables import wire_events
 
@@ -29,6 +37,19 @@ def event_number(event_id: Column) -> Column:
     return F.regexp_extract(event_id, "([0-9]+)", 1).cast("bigint")
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def stage_table(spark: SparkSession, sf_dir: str, stage: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stage as a written table of this session; built on first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, stage)
+    if key not in _WRITTEN:
+        path = f"{shared_folder(spark)}/{key[0]}/{uuid.uuid4().hex}-{stage}"
+        build().write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])
+
+
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_events(wire_events(spark, sf_dir))
 
@@ -42,11 +63,11 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_events(valid(spark, sf_dir))
+    return stage_table(spark, sf_dir, "accepted", lambda: dedup_events(valid(spark, sf_dir)))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feature_vectors(accepted(spark, sf_dir), WIDE)
+    return stage_table(spark, sf_dir, "vectors", lambda: feature_vectors(accepted(spark, sf_dir), WIDE))
 
 
 def with_fixed_raw(df: DataFrame) -> DataFrame:
@@ -87,11 +108,13 @@ def scored_with_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction table of the run whose calls are in the call log."""
-    return prediction_rows(scored_with_calls(spark, sf_dir))
+    return stage_table(
+        spark, sf_dir, "predictions", lambda: prediction_rows(scored_with_calls(spark, sf_dir))
+    )
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decide(scored(spark, sf_dir))
+    return stage_table(spark, sf_dir, "decisions", lambda: decide(scored(spark, sf_dir)))
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

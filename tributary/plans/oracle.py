@@ -47,7 +47,7 @@ SELECT t.n, t.k, t.value, t.event_type, t.ts AS event_time,
   CAST(CASE WHEN t.n % 71 = 0 THEN 9 ELSE 1 + t.n % 2 END AS INT) AS schema_version,
   CASE WHEN t.n % 67 = 0 THEN 'short' ELSE 'trace' || lpad(t.n::VARCHAR, 8, '0') END AS trace_id,
   epoch_us(t.ts) AS event_us,
-  epoch_us(t.ts) + 1000000 * (c.copy + CASE WHEN t.n % 89 = 0 THEN -600 WHEN t.n % 83 = 0 THEN 90000
+  epoch_us(t.ts) + 1000000::BIGINT * (c.copy + CASE WHEN t.n % 89 = 0 THEN -600 WHEN t.n % 83 = 0 THEN 90000
                                             ELSE t.k * 2 END) AS arrival_us,
   CASE WHEN t.n % 11 <> 0 THEN 60.0::DOUBLE + t.value END AS hr,
   CASE WHEN t.n % 13 <> 0 THEN 100.0::DOUBLE - t.k / 5.0::DOUBLE END AS spo2,

@@ -21,7 +21,7 @@ from tributary.operators import reports as R
 from tributary.operators import risk as K
 from tributary.operators import scoring as S
 from tributary.operators.dedup import dedup_events, duplicate_report, replay_quarantine, upsert_dimension
-from tributary.operators.features import latest_features
+from tributary.operators.features import feature_vectors, latest_features
 from tributary.operators.history import with_history
 from tributary.operators.registry import model_hash, route_models
 from tributary.operators.validate import canonicalize, parse_wire, typed_payload
@@ -257,7 +257,9 @@ for _type in PAYLOADS:
 
 
 register("dedup_events", sql("SELECT event_id, source_id, arrival_us FROM accepted", "accepted"))(
-    lambda spark, sf: flow.accepted(spark, sf).select("event_id", "source_id", us("arrival_time").alias("arrival_us"))
+    lambda spark, sf: dedup_events(flow.valid(spark, sf)).select(
+        "event_id", "source_id", us("arrival_time").alias("arrival_us")
+    )
 )
 register(
     "duplicate_report",
@@ -339,7 +341,7 @@ def _features(name: str, exact: list[str], close: list[str], kind: str | None, k
     where = f" WHERE event_type = '{kind}'" if kind else ""
 
     def query(spark, sf):
-        rows = flow.vectors(spark, sf)
+        rows = feature_vectors(flow.accepted(spark, sf), flow.WIDE)
         rows = rows.filter(F.col("event_type") == kind) if kind else rows
         return rows.select(
             key, *[F.col(f"features.{c}") for c in exact], *[six(f"features.{c}").alias(c) for c in close]
@@ -394,7 +396,7 @@ ALL_NEAR = VITALS_NEAR + ["missing_ratio", "occupancy_ratio", "occupancy_mean"]
     ),
 )
 def feature_vector_query(spark, sf):
-    return flow.vectors(spark, sf).select(
+    return feature_vectors(flow.accepted(spark, sf), flow.WIDE).select(
         "event_id",
         "event_type",
         "patient_id",
@@ -582,7 +584,7 @@ def flow_limit(name: Column) -> Column:
     ),
 )
 def resolve_fallback_query(spark, sf):
-    return flow.predictions(spark, sf).select(
+    return S.prediction_rows(flow.scored_with_calls(spark, sf)).select(
         "event_id",
         "position",
         "model_name",
@@ -684,7 +686,7 @@ for _i, _r in enumerate(D.RULES):
 
 
 def _explained(spark, sf) -> DataFrame:
-    return flow.decisions(spark, sf)
+    return D.decide(flow.scored(spark, sf))
 
 
 register(
@@ -772,7 +774,7 @@ def _decision_columns(rows: DataFrame) -> DataFrame:
 
 
 register("decide", sql(f"SELECT {_DECISION} FROM decided", "decided"))(
-    lambda spark, sf: _decision_columns(flow.decisions(spark, sf))
+    lambda spark, sf: _decision_columns(D.decide(flow.scored(spark, sf)))
 )
 
 
