@@ -26,7 +26,7 @@ from tributary.operators.history import with_history
 from tributary.operators.registry import model_hash, route_models
 from tributary.operators.validate import canonicalize, parse_wire, typed_payload
 from tributary.plans import flow
-from tributary.plans.oracle import near, sql
+from tributary.plans.oracle import near, round_even, sql
 from tributary.schema import PAYLOADS, STAGES
 from tributary.sources.streams import stage_messages
 from tributary.sources.tables import patients, table, wire_events
@@ -1068,10 +1068,11 @@ def overview_query(spark, sf):
     return row.withColumn("alerts_by_severity", joined(entries))
 
 
-_STATS_SQL = """stats AS (
-  SELECT model_name, model_version, count(*) AS count, round(avg((status = 'success')::INT), 4) AS success_rate,
-    round(list_sort(list(latency_ms))[floor(0.95 * (count(*) - 1))::INT + 1], 2) AS p95_ms
-  FROM preds GROUP BY 1, 2)"""
+_STATS_SQL = f"""stats AS (
+  SELECT model_name, model_version, count, {round_even("rate", 4)} AS success_rate, {round_even("p95", 2)} AS p95_ms FROM (
+    SELECT model_name, model_version, count(*) AS count, avg((status = 'success')::INT) AS rate,
+      list_sort(list(latency_ms))[floor(0.95 * (count(*) - 1))::INT + 1] AS p95
+    FROM preds GROUP BY 1, 2))"""
 register("model_stats", _extended("SELECT * FROM stats", _STATS_SQL, "preds"))(
     lambda spark, sf: R.model_stats(flow.predictions(spark, sf))
 )
