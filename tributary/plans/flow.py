@@ -24,6 +24,7 @@ from tributary.operators.validate import check_events, quarantine_rows, valid_ev
 from tributary.session import shared_folder
 from tributary.settings import DEFAULTS
 from tributary.sources.tables import wire_events
+from tributary.streaming.stages import run_alerts, run_events
 
 # The tables hold one event per entity and hours: with a window of three days it holds several events.
 WIDE = replace(DEFAULTS, window_ms=259_200_000)
@@ -67,7 +68,13 @@ def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage_table(spark, sf_dir, "vectors", lambda: feature_vectors(accepted(spark, sf_dir), WIDE))
+    """Feature vectors; the payload is dropped, no later stage reads it."""
+    return stage_table(
+        spark,
+        sf_dir,
+        "vectors",
+        lambda: feature_vectors(accepted(spark, sf_dir).drop("value"), WIDE).drop("attributes"),
+    )
 
 
 def with_fixed_raw(df: DataFrame) -> DataFrame:
@@ -144,3 +151,30 @@ def commands(alert_table: DataFrame) -> DataFrame:
     return alert_table.select(F.col("id").alias("alert_id"), F.inline(given)).withColumn(
         "command_id", F.concat_ws("-", "alert_id", F.col("step").cast("string"))
     )
+
+
+def stream_tables(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the tables the streams leave after all messages, run once per session.
+
+    The messages are put into three folders by the date in their timestamp, one micro-batch each, so
+    copies and history reach over micro-batches.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, "streams")
+    if key not in _WRITTEN:
+        folder = f"{shared_folder(spark)}/{key[0]}/{uuid.uuid4().hex}-streams"
+        day = F.get_json_object("value", "$.timestamp")
+        part = F.when(day < "2024-01-11", 0).when(day < "2024-01-21", 1).otherwise(2)
+        messages = wire_events(spark, sf_dir).withColumn("part", part)
+        messages.write.partitionBy("part").parquet(f"{folder}/messages")
+        for i in range(3):
+            raw = (
+                spark.readStream.schema("value string, arrival_time timestamp")
+                .parquet(f"{folder}/messages/part={i}")
+            )
+            # Each part is a source of its own, so it has its own checkpoint; the batch ids go on.
+            run_events(
+                raw, folder, f"{folder}/checkpoint-{i}", fixed_scorers(), WIDE, with_fixed_raw, first_batch=i
+            ).awaitTermination()
+        run_alerts(spark, folder, f"{folder}/checkpoint-alerts", WIDE).awaitTermination()
+        _WRITTEN[key] = folder
+    return _WRITTEN[key]

@@ -6,6 +6,7 @@ whose order is free are shown with six digits (``near``), row-local results as t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -28,8 +29,10 @@ from tributary.operators.validate import canonicalize, parse_wire, typed_payload
 from tributary.plans import flow
 from tributary.plans.oracle import near, round_even, sql
 from tributary.schema import PAYLOADS, STAGES
+from tributary.session import shared_folder
 from tributary.sources.streams import stage_messages
 from tributary.sources.tables import patients, table, wire_events
+from tributary.streaming.stages import stream_kpis
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -542,7 +545,6 @@ def train_risk_query(spark, sf):
     return spark.createDataFrame(rows, "input string, weight double")
 
 
-PRED_SQL = """event_id, position, model_name, model_version"""
 register(
     "shadow_predictions",
     sql(f"SELECT event_id, model_name, status, shadow, {near('score')} AS score FROM preds WHERE shadow", "preds"),
@@ -1189,3 +1191,82 @@ def quota_flag_query(spark, sf):
     requests = table(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
     flagged = M.quota_flag(requests, "user_id", "ts", "event_id", replace(flow.WIDE, requests_per_minute=2), 86_400)
     return flagged.drop("ts")
+
+
+# --- streams: the tables left by the streaming queries after all messages -----------------------
+
+
+def _streamed(spark, sf, name: str) -> DataFrame:
+    return spark.read.parquet(f"{flow.stream_tables(spark, sf)}/{name}")
+
+
+register(
+    "stream_validate",
+    sql(
+        """SELECT event_id, code AS failure_code, error, arrival_us AS created_us FROM checked WHERE code IS NOT NULL""",
+        "checked",
+    ),
+)(
+    lambda spark, sf: _streamed(spark, sf, "quarantine").select(
+        "event_id", "failure_code", "error", us("created_at").alias("created_us")
+    )
+)
+register("stream_dedup", sql("SELECT event_id, source_id, arrival_us FROM accepted", "accepted"))(
+    lambda spark, sf: _streamed(spark, sf, "accepted").select(
+        "event_id", "source_id", us("arrival_time").alias("arrival_us")
+    )
+)
+register(
+    "stream_features",
+    sql("SELECT event_id, array_to_string(reasons, ',') AS reasons FROM decided", "decided"),
+)(
+    # The SpO2 reason carries the lowest value of the event's window.
+    lambda spark, sf: _streamed(spark, sf, "decisions").select(
+        "event_id", joined("explanation.rule_reasons").alias("reasons")
+    )
+)
+register("stream_score_decide", sql(f"SELECT {_DECISION} FROM decided", "decided"))(
+    lambda spark, sf: _decision_columns(_streamed(spark, sf, "decisions"))
+)
+register("stream_alerts", sql("SELECT dedup_key FROM alerts", "alerts"))(
+    lambda spark, sf: _streamed(spark, sf, "alerts").select("dedup_key")
+)
+register(
+    "stream_lateness",
+    sql(
+        """SELECT event_id, (arrival_us - event_us) > 120000000 AS stale, arrival_us - event_us AS late_us FROM accepted""",
+        "accepted",
+    ),
+)(
+    lambda spark, sf: _streamed(spark, sf, "accepted").select(
+        "event_id",
+        (us("arrival_time") - us("event_time") > flow.WIDE.lateness_s * 1_000_000).alias("stale"),
+        (us("arrival_time") - us("event_time")).alias("late_us"),
+    )
+)
+
+
+@register(
+    "stream_kpis",
+    sql(
+        """SELECT arrival_us // 60000000 * 60000000 AS minute_us, count(*) AS events,
+  count(*) FILTER (WHERE arrival_us - event_us > 120000000) AS stale FROM accepted GROUP BY 1""",
+        "accepted",
+    ),
+)
+def stream_kpis_query(spark, sf):
+    """Per-minute KPIs kept up to date by a stream over the accepted events."""
+    accepted = flow.accepted(spark, sf).select("event_id", "patient_id", "event_time", "arrival_time")
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-kpis"
+    accepted.write.parquet(f"{folder}/events")
+    stream = spark.readStream.schema(accepted.schema).parquet(f"{folder}/events")
+    kpis = stream_kpis(stream)
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/kpis/batch_id={batch_id}")
+
+    query = kpis.writeStream.outputMode("update").foreachBatch(batch).trigger(availableNow=True)
+    query.option("checkpointLocation", f"{folder}/checkpoint").start().awaitTermination()
+    updates = spark.read.parquet(f"{folder}/kpis")
+    last = updates.groupBy("window_start").agg(F.max_by(F.struct("events", "stale"), "batch_id").alias("k"))
+    return last.select(us("window_start").alias("minute_us"), "k.events", "k.stale")

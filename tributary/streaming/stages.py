@@ -129,14 +129,16 @@ def run_events(
     scorers: Scorers,
     settings: Settings = DEFAULTS,
     enrich: Callable[[DataFrame], DataFrame] | None = None,
+    first_batch: int = 0,
 ) -> StreamingQuery:
     """Raw messages to the tables accepted, quarantine, predictions and decisions under ``out``.
 
-    ``enrich`` adds columns the scorers need (the forests' decision function).
+    ``enrich`` adds columns the scorers need (the forests' decision function). ``first_batch`` is the
+    number of micro-batches ``out`` already holds from an earlier query with another checkpoint.
     """
 
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
+    def batch(rows: DataFrame, query_batch: int) -> None:
+        spark, batch_id = rows.sparkSession, query_batch + first_batch
         checked = check_events(rows, settings).persist()
         try:
             _store(quarantine_rows(checked), f"{out}/quarantine", batch_id, "created_at")
