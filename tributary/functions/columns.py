@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Hashable
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Build a column expression once per JVM and set of arguments.
+
+    Expressions are immutable and refer to columns by name. Building a large one takes thousands of calls
+    into the JVM, which would be the main cost of a small micro-batch.
+    """
+    known: dict[Hashable, Column] = {}
+
+    @functools.wraps(build)
+    def get(*args: Hashable) -> Column:
+        key = (id(SparkContext._gateway), *args)
+        if key not in known:
+            known[key] = build(*args)
+        return known[key]
+
+    return get
+
+
 def first_non_blank(*cols: Column) -> Column:
     """First value that is neither null nor the empty string."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.columns import first_non_blank, round_even, stable_id
+from tributary.functions.columns import built_once, first_non_blank, round_even, stable_id
 from tributary.operators.dedup import keep_first
 from tributary.settings import DEFAULTS, Settings
 
@@ -38,6 +38,7 @@ def alert_dedup(candidates: DataFrame, settings: Settings = DEFAULTS) -> DataFra
     return keep_first(keyed, ["dedup_key"], [F.col("created_at"), F.col("event_id")])
 
 
+@built_once
 def alert_message() -> Column:
     rules = F.when(F.size("triggered_rules") > 0, F.array_join("triggered_rules", ", ")).otherwise("model scores")
     who = F.coalesce(F.nullif(F.col("patient_id"), F.lit("")), F.lit("resource"))

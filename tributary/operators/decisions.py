@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.columns import round_even, settled, stable_id
+from tributary.functions.columns import built_once, round_even, settled, stable_id
 from tributary.operators.dedup import keep_first
 from tributary.operators.registry import WEIGHTS
 from tributary.operators.scoring import feature
@@ -112,6 +112,7 @@ RULES: tuple[Callable[[], Column], ...] = (
 )
 
 
+@built_once
 def triggered_rules() -> Column:
     """Fired rules in rule order."""
     return F.array_compact(F.array(*[rule() for rule in RULES]))
@@ -126,12 +127,23 @@ def max_severity(fired: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), F.coalesce(highest, F.lit(1)).cast("int"))
 
 
+@built_once
 def _primary_score(name: str) -> Column:
     """Score of the first successful (or fallback) non-shadow prediction of a model; 0 when there is none."""
     found = F.filter("_primary", lambda p: p["model_name"] == name)
     return F.coalesce(F.get(found, 0)["score"], F.lit(0.0))
 
 
+@built_once
+def _final_action() -> Column:
+    return action_for(F.col("severity"), F.col("_names"), F.col("event_type"))
+
+
+@built_once
+def _rounded(name: str) -> Column:
+    return round_even(F.col(name), 4)
+
+
 def _with_components(scored: DataFrame) -> DataFrame:
     fired = scored.withColumns(
         {
@@ -153,6 +165,7 @@ def _with_components(scored: DataFrame) -> DataFrame:
     )
 
 
+@built_once
 def decision_score() -> Column:
     """Weighted score; bed and imaging events use their own model instead."""
     weighted = (
@@ -176,6 +189,7 @@ def escalate(severity: Column, score: Column) -> Column:
     )
 
 
+@built_once
 def decision_confidence() -> Column:
     known = F.filter(F.transform("_primary", lambda p: p["confidence"]), lambda c: c.isNotNull())
     total = F.aggregate(known, F.lit(0.0), lambda acc, c: acc + c)
@@ -197,6 +211,7 @@ def action_for(severity: Column, names: Column, event_type: Column) -> Column:
     )
 
 
+@built_once
 def explanation() -> Column:
     return F.struct(
         F.lit(AI_NOTE).alias("ai"),
@@ -225,9 +240,9 @@ def decide(scored: DataFrame) -> DataFrame:
         "resource_id",
         "source_id",
         "severity",
-        action_for(F.col("severity"), F.col("_names"), F.col("event_type")).alias("action"),
-        round_even(F.col("_score"), 4).alias("decision_score"),
-        round_even(F.col("_confidence"), 4).alias("confidence"),
+        _final_action().alias("action"),
+        _rounded("_score").alias("decision_score"),
+        _rounded("_confidence").alias("confidence"),
         F.col("_names").alias("triggered_rules"),
         "predictions",
         explanation().alias("explanation"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.columns import seconds_between
+from tributary.functions.columns import built_once, seconds_between
 from tributary.operators.history import hr_mean, hr_slope, hr_variance, with_history
 from tributary.settings import DEFAULTS, Settings
 
@@ -111,6 +111,7 @@ FEATURES_BY_TYPE = {
 }
 
 
+@built_once
 def _wide_features() -> Column:
     """Every feature name once; each column dispatches on the event type."""
     by_name: dict[str, Column] = {}

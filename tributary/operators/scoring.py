@@ -6,13 +6,14 @@ length needs an Arrow function, applied beforehand (``forest.py``).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.columns import capped, flag_number, number, sigmoid, stable_id
+from tributary.functions.columns import built_once, capped, flag_number, number, sigmoid, stable_id
 from tributary.operators.registry import FALLBACK_TIMEOUT_MS, REGISTRY, Model, Registry, model_hash
 
 # Cut-offs, weights, confidences and input defaults of the built-in scorers.
@@ -151,6 +152,7 @@ def forest_column(model_name: str) -> str:
 Scorers = dict[str, Callable[[], Column]]
 
 
+@functools.cache
 def scorers(risk: RiskModel | None = None, forests: tuple[str, ...] = ()) -> Scorers:
     """The available scorers; a model without one counts as unreachable (its breaker is open)."""
     built: Scorers = {
@@ -177,21 +179,21 @@ def classify_outcome(latency_ms: Column, failed: Column, breaker_open: Column, l
     )
 
 
-def attach_call_log(vectors: DataFrame, call_log: DataFrame) -> DataFrame:
-    """Add ``calls``: per event a map of model name to its call.
+def attach_call_log(vectors: DataFrame, call_log: DataFrame, registry: Registry = REGISTRY) -> DataFrame:
+    """Add ``calls``: per event a map of model name to its (first) call.
 
-    The log is first cut to one row per event and model, so the map is bounded by the registry.
+    One aggregate per registered model, combined before the only shuffle of the log: copies of a call never
+    meet in a list.
     """
-    from tributary.operators.dedup import keep_first
-
-    one_each = keep_first(call_log, ["event_id", "model_name"], [F.col("called_at"), F.col("latency_ms")])
-    calls = one_each.groupBy("event_id").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("model_name", F.struct("latency_ms", "failed", "breaker_open")))
-        )
-        .cast(CALL_TYPE)
-        .alias("calls")
+    call = F.struct("called_at", "latency_ms", "failed", "breaker_open")
+    first = call_log.groupBy("event_id").agg(
+        *[F.min(F.when(F.col("model_name") == m.name, call)).alias(f"_{m.name}") for m in registry.models]
     )
+    entries = []
+    for m in registry.models:
+        c = F.col(f"_{m.name}")
+        entries += [F.lit(m.name), F.when(c.isNotNull(), F.struct(c["latency_ms"], c["failed"], c["breaker_open"]))]
+    calls = first.select("event_id", F.create_map(*entries).cast(CALL_TYPE).alias("calls"))
     return vectors.join(calls, "event_id", "left")
 
 
@@ -262,17 +264,25 @@ def predict(
 
     With a ``calls`` column (see ``attach_call_log``) the logged outcomes decide about fallbacks.
     """
-    calls = F.col("calls") if "calls" in vectors.columns else None
+    routed = _predictions(tuple(available.items()), registry, "calls" in vectors.columns)
+    return vectors.withColumn("predictions", routed).withColumn("inference_status", inference_status())
+
+
+@built_once
+def _predictions(available: tuple[tuple[str, Callable[[], Column]], ...], registry: Registry, logged: bool) -> Column:
     by_type = F.expr(f"cast(array() as array<{PREDICTION_TYPE}>)")
+    calls = F.col("calls") if logged else None
     for event_type, _ in registry.routing:
         entries = [
-            resolve_fallback(m, registry, available, calls).cast(PREDICTION_TYPE) for m in registry.routed(event_type)
+            resolve_fallback(m, registry, dict(available), calls).cast(PREDICTION_TYPE)
+            for m in registry.routed(event_type)
         ]
         if entries:
             by_type = F.when(F.col("event_type") == event_type, F.array(*entries)).otherwise(by_type)
-    return vectors.withColumn("predictions", by_type).withColumn("inference_status", inference_status())
+    return by_type
 
 
+@built_once
 def inference_status() -> Column:
     """A failed primary that a fallback replaced leaves no row, so it does not count as partial."""
     cut_short = F.exists("predictions", lambda p: p["status"].isin("timeout", "error"))

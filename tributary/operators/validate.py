@@ -13,7 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.columns import seconds_between, settled, stable_id
+from tributary.functions.columns import built_once, seconds_between, settled, stable_id
 from tributary.schema import (
     EVENT_COLUMNS,
     ID_LENGTHS,
@@ -130,6 +130,7 @@ def _fail(code: str, error: Column | str) -> Column:
     return F.struct(F.lit(code).alias("code"), (F.lit(error) if isinstance(error, str) else error).alias("error"))
 
 
+@built_once
 def _envelope_problem() -> Column:
     """Name of the first envelope field that is missing, mistyped or out of bounds."""
     w = lambda name: F.col(f"_wire.{name}")
@@ -146,6 +147,7 @@ def _envelope_problem() -> Column:
     return problem.when(w("payload").isNull(), "payload")
 
 
+@built_once
 def _timestamp_failure(settings: Settings) -> Column:
     ahead = seconds_between(F.col("event_time"), F.col("arrival_time"))
     unreadable = (
@@ -160,6 +162,7 @@ def _timestamp_failure(settings: Settings) -> Column:
     )
 
 
+@built_once
 def _ids_failure() -> Column:
     blank = lambda name: F.coalesce(F.col(name), F.lit("")) == ""
     return F.when(
@@ -171,6 +174,7 @@ def _ids_failure() -> Column:
     )
 
 
+@built_once
 def _payload_problem() -> Column:
     """First bad payload field of the event's own type."""
     problem = None
@@ -181,6 +185,7 @@ def _payload_problem() -> Column:
     return problem
 
 
+@built_once
 def _unknown_key() -> Column:
     """A payload key the event's type does not have."""
     allowed = None
@@ -191,6 +196,7 @@ def _unknown_key() -> Column:
     return F.exists(F.map_keys("_wire.payload"), lambda key: ~F.array_contains(allowed, key))
 
 
+@built_once
 def _storage_failure() -> Column:
     """Entity ids longer than the stored column: accepted by the schema, refused by the store."""
     too_long = F.lit(False)
@@ -199,12 +205,14 @@ def _storage_failure() -> Column:
     return F.when(too_long, _fail(PERMANENT, "entity id is longer than the stored column"))
 
 
+@built_once
 def _typed(event_type: str) -> Column:
     """Converted payload of one event type; null for the others."""
     struct = F.struct(*[_field_value(f).alias(f.name) for f in PAYLOADS[event_type]])
     return F.when(F.col("event_type") == event_type, struct)
 
 
+@built_once
 def _with_defaults() -> Column:
     """One nested struct per event type, with declared defaults in place of absent fields."""
     views = []
@@ -218,41 +226,58 @@ def _with_defaults() -> Column:
     return F.struct(*views)
 
 
+@built_once
+def _wire() -> Column:
+    return F.when(F.col("value").rlike(_OBJECT_TEXT), F.from_json("value", WIRE_SCHEMA))
+
+
+@built_once
+def _wire_text(name: str) -> Column:
+    return _text(F.col(f"_wire.{name}"))
+
+
+@built_once
+def _wire_version() -> Column:
+    return _whole(F.col("_wire.schema_version")).cast("int")
+
+
+@built_once
+def _wire_event_id() -> Column:
+    return _raw_text(F.col("_wire.event_id"))
+
+
+@built_once
+def _stripped(name: str) -> Column:
+    return _strip(F.col(f"_{name}"))
+
+
+@built_once
+def _event_time() -> Column:
+    return parse_time(F.col("timestamp"))
+
+
+def _envelope_columns() -> dict[str, Column]:
+    return {
+        **{f"_{name}": _wire_text(name) for name in ID_LENGTHS},
+        **{name: _wire_text(name) for name in ("event_type", "patient_id", "device_id", "resource_id", "timestamp")},
+        "schema_version": _wire_version(),
+        "wire_event_id": _wire_event_id(),
+    }
+
+
 def parse_wire(raw: DataFrame) -> DataFrame:
     """JSON text -> envelope columns; one JSON parse per row, unknown envelope keys ignored."""
-    parsed = raw.withColumn(
-        "_wire", F.when(F.col("value").rlike(_OBJECT_TEXT), F.from_json("value", WIRE_SCHEMA))
-    )
-    parsed = parsed.withColumns(
-        {
-            **{f"_{name}": _text(F.col(f"_wire.{name}")) for name in ID_LENGTHS},
-            **{
-                name: _text(F.col(f"_wire.{name}"))
-                for name in ("event_type", "patient_id", "device_id", "resource_id", "timestamp")
-            },
-            "schema_version": _whole(F.col("_wire.schema_version")).cast("int"),
-            "wire_event_id": _raw_text(F.col("_wire.event_id")),
-        }
-    )
+    parsed = raw.withColumn("_wire", _wire())
+    parsed = parsed.withColumns(_envelope_columns())
     return parsed.withColumns(
-        {
-            **{name: _strip(F.col(f"_{name}")) for name in ID_LENGTHS},
-            "event_time": parse_time(F.col("timestamp")),
-        }
+        {**{name: _stripped(name) for name in ID_LENGTHS}, "event_time": _event_time()}
     )
 
 
-def check_events(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Typed events with ``failure`` (code and text of the first failing check, null when valid).
-
-    Needs ``value`` (JSON text) and ``arrival_time``. Checks run in a fixed order: envelope, timestamp,
-    zone, skew, age, required ids, payload, storage limits.
-    """
-    parsed = parse_wire(raw).withColumns(
-        {**{f"_{event_type}": _typed(event_type) for event_type in PAYLOADS}, "_unknown": _unknown_key()}
-    )
-    judged = parsed.withColumns({"_envelope": _envelope_problem(), "_payload": _payload_problem()})
-    failure = F.coalesce(
+@built_once
+def _failure(settings: Settings) -> Column:
+    """The first failing check in the fixed order."""
+    return F.coalesce(
         F.when(
             F.col("_envelope").isNotNull(), _fail(INVALID, F.concat(F.lit("invalid event: "), F.col("_envelope")))
         ),
@@ -264,7 +289,19 @@ def check_events(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         F.when(F.col("_unknown"), _fail(INVALID, "invalid payload: unexpected field")),
         _storage_failure(),
     )
-    judged = judged.withColumns({"failure": failure, "attributes": _with_defaults()})
+
+
+def check_events(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Typed events with ``failure`` (code and text of the first failing check, null when valid).
+
+    Needs ``value`` (JSON text) and ``arrival_time``. Checks run in a fixed order: envelope, timestamp,
+    zone, skew, age, required ids, payload, storage limits.
+    """
+    parsed = parse_wire(raw).withColumns(
+        {**{f"_{event_type}": _typed(event_type) for event_type in PAYLOADS}, "_unknown": _unknown_key()}
+    )
+    judged = parsed.withColumns({"_envelope": _envelope_problem(), "_payload": _payload_problem()})
+    judged = judged.withColumns({"failure": _failure(settings), "attributes": _with_defaults()})
     return settled(judged.select(*EVENT_COLUMNS, "wire_event_id", "failure"))
 
 

@@ -1,6 +1,6 @@
 """The stages put together over the driver's tables.
 
-Accepted events, feature vectors, predictions and decisions are stage tables: each is written once per session
+Accepted events, quarantine, feature vectors, predictions and decisions are stage tables: each is written once per session
 to the shared folder and read from there, so that a query on a late stage neither parses the messages
 again nor carries the whole lineage. All other steps are lazy.
 """
@@ -60,7 +60,7 @@ def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quarantine_rows(checked(spark, sf_dir))
+    return stage_table(spark, sf_dir, "quarantine", lambda: quarantine_rows(checked(spark, sf_dir)))
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from tributary.operators.dedup import dedup_events, duplicate_report, replay_qua
 from tributary.operators.features import feature_vectors, latest_features
 from tributary.operators.history import with_history
 from tributary.operators.registry import model_hash, route_models
-from tributary.operators.validate import canonicalize, parse_wire, typed_payload
+from tributary.operators.validate import canonicalize, parse_wire, quarantine_rows, typed_payload
 from tributary.plans import flow
 from tributary.plans.oracle import near, round_even, sql
 from tributary.schema import PAYLOADS, STAGES
@@ -115,7 +115,7 @@ def write_stage_query(spark, sf):
     ),
 )
 def write_quarantine_query(spark, sf):
-    return flow.quarantine(spark, sf).select(
+    return quarantine_rows(flow.checked(spark, sf)).select(
         "original_topic", "event_id", "failure_code", "error", "replayed", us("created_at").alias("created_us")
     )
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tributary.functions.columns import built_once
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,6 +35,7 @@ def _pick(index: Column, *values: str | None) -> Column:
     return chosen
 
 
+@built_once
 def _event_type() -> Column:
     return (
         F.when(F.col("n") % 10 < 6, "patient_vital")
@@ -49,6 +52,7 @@ def _numbered(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), number.cast("string"))
 
 
+@built_once
 def _payload() -> Column:
     """Payload text of the row's event type (absent fields are left out, as ``to_json`` does with null)."""
     n, k, value = F.col("n"), F.col("k"), F.col("value")
