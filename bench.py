@@ -48,7 +48,8 @@ def timed(run) -> float:
 
 
 def stream_latencies(spark, sf_dir: str) -> list[float]:
-    """Durations (ms) of the micro-batches that process the raw messages in eight files."""
+    """Durations (ms) of the micro-batches over the raw messages in eight files, with the five-minute window."""
+    from tributary.settings import DEFAULTS
     from tributary.sources.tables import wire_events
     from tributary.streaming.stages import run_events
 
@@ -59,7 +60,7 @@ def stream_latencies(spark, sf_dir: str) -> list[float]:
         .option("maxFilesPerTrigger", 1)
         .parquet(f"{folder}/raw")
     )
-    query = run_events(raw, f"{folder}/out", f"{folder}/checkpoint", flow.fixed_scorers(), flow.WIDE, flow.with_fixed_raw)
+    query = run_events(raw, f"{folder}/out", f"{folder}/checkpoint", flow.fixed_scorers(), DEFAULTS, flow.with_fixed_raw)
     query.awaitTermination()
     return [float(p["durationMs"]["triggerExecution"]) for p in query.recentProgress if p["numInputRows"] > 0]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tributary.functions.columns import round_even
 from tributary.operators import decisions as D
 from tributary.operators import scoring as S
-from tributary.operators.forest import CONTAMINATION, fit_forest, forest_offset, with_forest_raw
+from tributary.operators.forest import CONTAMINATION, fit_forest, forest_offsets, with_forest_raw
 from tributary.operators.registry import Model, Registry, model_hash, route_models
 from tributary.operators.risk import train_risk_model
 
@@ -255,7 +255,7 @@ def test_isolation_forest_properties(spark):
     df = training_vitals(spark).cache()
     forest = fit_forest(df)
     assert len(forest.roots) == 60 and forest.sample == 256
-    offsets = {name: forest_offset(df, forest, share) for name, share in CONTAMINATION.items()}
+    offsets = forest_offsets(df, forest, CONTAMINATION)
     assert offsets["anomaly_detector"] < offsets["anomaly_detector_shadow"]
     raw = with_forest_raw(df, forest, offsets)
     got = raw.select(

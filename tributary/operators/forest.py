@@ -6,8 +6,10 @@ trees x 511 nodes. Sampling is the algorithm itself; the offset is computed on a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators.reports import quantile_by_position
 from tributary.operators.scoring import FOREST_INPUTS, forest_column, model_inputs
+from tributary.session import shared_folder
 
 # Rows per tree, depth limit, trees, shares of outliers of the primary and the shadow model.
 SAMPLE = 256
@@ -151,15 +154,31 @@ def _with_anomaly(vectors: DataFrame, forest: Forest, name: str) -> DataFrame:
     return vectors.withColumn(name, score(*model_inputs(FOREST_INPUTS)))
 
 
-def forest_offset(vectors: DataFrame, forest: Forest, contamination: float) -> float:
-    """Score below which the given share of training rows falls: exact, linear between two rows."""
-    scored = _with_anomaly(vectors, forest, "_anomaly").select(F.lit(0).alias("one"), (-F.col("_anomaly")).alias("s"))
-    pick = lambda upper: quantile_by_position(
-        scored, ["one"], "s", contamination, widths=(1e-3, 1e-6), upper=upper
-    ).select(F.lit(upper).alias("upper"), "s")
-    found = {r["upper"]: r["s"] for r in pick(False).unionByName(pick(True)).collect()}
-    place = contamination * (scored.count() - 1)
-    return found[False] + (found[True] - found[False]) * (place - int(place))
+def forest_offsets(vectors: DataFrame, forest: Forest, shares: dict[str, float]) -> dict[str, float]:
+    """Per model name the score below which its share of training rows falls: exact, linear between two rows.
+
+    The scores are written once to the shared folder, so the trees are walked once for all quantiles.
+    """
+    spark = vectors.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}-scores"
+    _with_anomaly(vectors, forest, "_anomaly").select(
+        F.lit(0).alias("one"), (-F.col("_anomaly")).alias("s")
+    ).write.parquet(path)
+    scores = spark.read.parquet(path)
+    picks = [
+        quantile_by_position(scores, ["one"], "s", share, widths=(1e-3, 1e-6), upper=upper).select(
+            F.lit(name).alias("name"), F.lit(upper).alias("upper"), "s"
+        )
+        for name, share in shares.items()
+        for upper in (False, True)
+    ]
+    found = {(r["name"], r["upper"]): r["s"] for r in reduce(DataFrame.unionByName, picks).collect()}
+    last = scores.count() - 1
+    offsets = {}
+    for name, share in shares.items():
+        low, high = found[name, False], found[name, True]
+        offsets[name] = low + (high - low) * (share * last - int(share * last))
+    return offsets
 
 
 def fit_forest(vectors: DataFrame, trees: int = TREES, seed: int = 7) -> Forest:

@@ -526,7 +526,7 @@ def score_forest_query(spark, sf):
     """Trains on all vitals, then scores all of them under the primary's and the shadow's offset."""
     rows = _vital_vectors(spark, sf)
     forest = IF.fit_forest(rows)
-    offsets = {name: IF.forest_offset(rows, forest, share) for name, share in IF.CONTAMINATION.items()}
+    offsets = IF.forest_offsets(rows, forest, IF.CONTAMINATION)
     raw = IF.with_forest_raw(rows, forest, offsets)
     shown = {name: S.score_isolation_forest(F.col(S.forest_column(name))) for name in offsets}
     return raw.select(
