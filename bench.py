@@ -53,8 +53,8 @@ def stream_latencies(spark, sf_dir: str) -> list[float]:
     from tributary.sources.tables import wire_events
     from tributary.streaming.stages import run_events
 
-    folder = f"{shared_folder(spark)}/bench-stream"
-    wire_events(spark, sf_dir).repartition(8).write.parquet(f"{folder}/raw")
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-stream"
+    wire_events(spark, sf_dir).repartitionByRange(8, "arrival_time").write.parquet(f"{folder}/raw")
     raw = (
         spark.readStream.schema("value string, arrival_time timestamp")
         .option("maxFilesPerTrigger", 1)

@@ -13,7 +13,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tributary.functions.columns import partition_key
+from tributary.functions.columns import partition_key, seconds_between
 from tributary.operators import alerts as A
 from tributary.operators import decisions as D
 from tributary.operators import forest as IF
@@ -1141,6 +1141,40 @@ FROM outcomes, (VALUES {_BOUNDS}, ('inf'::DOUBLE, '+Inf')) b(bound, le) GROUP BY
         flow.call_log(spark, sf), ["model_name"], F.col("latency_ms") / 1000.0, M.MODEL_BUCKETS
     )
 )
+
+
+def _histogram_sql(label: str, seconds: str, buckets: tuple[float, ...], rows: str) -> str:
+    bounds = ", ".join(f"({b}::DOUBLE, '{b}')" for b in buckets)
+    return f"""SELECT {label}, b.le, count(*) FILTER (WHERE {seconds} <= b.bound) AS count
+FROM {rows}, (VALUES {bounds}, ('inf'::DOUBLE, '+Inf')) b(bound, le) GROUP BY 1, 2"""
+
+
+_LATE_SQL = "(arrival_us - event_us) / 1000000.0::DOUBLE"
+register(
+    "latency_histogram_stage",
+    sql(_histogram_sql("event_type", _LATE_SQL, M.STAGE_BUCKETS, "accepted"), "accepted"),
+)(
+    lambda spark, sf: M.latency_histogram(
+        flow.accepted(spark, sf),
+        ["event_type"],
+        seconds_between(F.col("arrival_time"), F.col("event_time")),
+        M.STAGE_BUCKETS,
+    )
+)
+register(
+    "latency_histogram_end_to_end",
+    sql(_histogram_sql("severity", _LATE_SQL, M.END_TO_END_BUCKETS, "alerts"), "alerts"),
+)(
+    # From the event's own time to its alert; the alert table has no event time, so it joins the events.
+    lambda spark, sf: M.latency_histogram(
+        flow.alerts(spark, sf)
+        .select("event_id", "severity", "created_at")
+        .join(flow.accepted(spark, sf).select("event_id", "event_time"), "event_id"),
+        ["severity"],
+        seconds_between(F.col("created_at"), F.col("event_time")),
+        M.END_TO_END_BUCKETS,
+    )
+)
 register(
     "counter_rate",
     sql(
