@@ -41,12 +41,17 @@ def event_number(event_id: Column) -> Column:
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
-def stage_table(spark: SparkSession, sf_dir: str, stage: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stage as a written table of this session; built on first use."""
+def stage_table(
+    spark: SparkSession, sf_dir: str, stage: str, build: Callable[[], DataFrame], order: str = "arrival_time"
+) -> DataFrame:
+    """The stage as a written table of this session; built on first use.
+
+    Each file is sorted by time, so a report on the last minute or hour skips the row groups outside it.
+    """
     key = (spark.sparkContext.applicationId, sf_dir, stage)
     if key not in _WRITTEN:
         path = f"{shared_folder(spark)}/{key[0]}/{uuid.uuid4().hex}-{stage}"
-        build().write.parquet(path)
+        build().sortWithinPartitions(order).write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
 
@@ -60,7 +65,7 @@ def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage_table(spark, sf_dir, "quarantine", lambda: quarantine_rows(checked(spark, sf_dir)))
+    return stage_table(spark, sf_dir, "quarantine", lambda: quarantine_rows(checked(spark, sf_dir)), "created_at")
 
 
 def accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,12 +121,12 @@ def scored_with_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction table of the run whose calls are in the call log."""
     return stage_table(
-        spark, sf_dir, "predictions", lambda: prediction_rows(scored_with_calls(spark, sf_dir))
+        spark, sf_dir, "predictions", lambda: prediction_rows(scored_with_calls(spark, sf_dir)), "created_at"
     )
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage_table(spark, sf_dir, "decisions", lambda: decide(scored(spark, sf_dir)))
+    return stage_table(spark, sf_dir, "decisions", lambda: decide(scored(spark, sf_dir)), "created_at")
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from tributary.operators.validate import canonicalize, parse_wire, quarantine_ro
 from tributary.plans import flow
 from tributary.plans.oracle import near, round_even, sql
 from tributary.schema import PAYLOADS, STAGES
-from tributary.session import shared_folder
+from tributary.session import shared_folder, use_engine_settings
 from tributary.sources.streams import stage_messages
 from tributary.sources.tables import patients, table, wire_events
 from tributary.streaming.stages import stream_kpis
@@ -43,7 +43,7 @@ ORACLE: dict[str, str] = {}
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def wrap(query: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            use_engine_settings(spark)
             return query(spark, sf_dir)
 
         QUERIES[name] = run

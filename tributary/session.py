@@ -14,7 +14,6 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "tributary"
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TRIBUTARY_DRIVER_MEMORY", "8g"))
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -23,9 +22,16 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "tributary"
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    use_engine_settings(spark)
     return spark
 
 
+def use_engine_settings(spark: SparkSession) -> None:
+    """Settings the results rely on: times in UTC, and timestamps stored so that filters can skip by them."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediate tables: the cluster's ``spark.checkpoint.dir``.
 

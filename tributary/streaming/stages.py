@@ -1,20 +1,22 @@
 """The stages on streams.
 
 ``run_events`` takes raw messages to accepted events, quarantine, predictions and decisions, with the
-batch operators inside ``foreachBatch``. Each micro-batch writes its own folder (``batch_id=N``) and
-overwrites it when it runs again, so a restart repeats nothing. Looking back (copies, history) reads
-the tables of earlier batches, cut by date; rows are never dropped for being late, only flagged stale
-or refused by validation.
+batch operators inside ``foreachBatch``. Tables are laid out by day and batch; a micro-batch that runs again
+replaces its own rows, so a restart repeats nothing. Looking back (copies, history) lists and reads only the
+days it needs, however long the stream has run. Rows are never dropped for being late, only flagged stale or
+refused by validation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
 from tributary.operators.alerts import alert_candidates, alert_rows, dedup_key
 from tributary.operators.decisions import decide
@@ -24,8 +26,6 @@ from tributary.operators.scoring import Scorers, predict, prediction_rows
 from tributary.operators.validate import check_events, quarantine_rows, valid_events
 from tributary.settings import DEFAULTS, Settings
 
-MS_PER_DAY = 86_400_000
-
 
 def stream_validate(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Checked events; without state, so the batch operator as it is."""
@@ -65,60 +65,46 @@ def stream_kpis(events: DataFrame, delay: str = "10 minutes", step: str | None =
     )
 
 
-def _earlier(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    """Rows that earlier micro-batches stored; None before the first."""
+def _store(df: DataFrame, folder: str, batch_id: int, date_of: str) -> None:
+    """Write a micro-batch's rows by day and batch; the same batch run again replaces its own rows only."""
+    day = F.date_from_unix_date(F.floor(F.unix_millis(date_of) / 86_400_000).cast("int"))
+    dated = df.withColumns({"day": day, "batch_id": F.lit(batch_id)})
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch_id").parquet(
+        folder
+    )
+
+
+def _stored_days(spark: SparkSession, folder: str, schema: StructType, first_ms: int, last_ms: int) -> DataFrame:
+    """Stored rows of the days between two instants: only those days' folders are listed and read."""
+    start, end = (datetime.fromtimestamp(ms / 1000, timezone.utc).date() for ms in (first_ms, last_ms))
+    days = ",".join(str(start + timedelta(days=i)) for i in range((end - start).days + 1))
+    full = StructType([*schema.fields, StructField("day", DateType()), StructField("batch_id", IntegerType())])
     try:
-        return spark.read.parquet(folder).filter(F.col("batch_id") < batch_id)
+        return spark.read.schema(full).option("basePath", folder).parquet(f"{folder}/day={{{days}}}")
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], full)
         raise
 
 
-def _store(df: DataFrame, folder: str, batch_id: int, date_of: str) -> DataFrame:
-    """Write a micro-batch's rows to its own folder and return them as read back from there."""
-    path = f"{folder}/batch_id={batch_id}"
-    df.withColumn("day", F.to_date(date_of)).write.mode("overwrite").partitionBy("day").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+def new_events(valid: DataFrame, stored: DataFrame) -> DataFrame:
+    """First copies that no earlier micro-batch stored.
 
-def _days_around(first_ms: int, last_ms: int):
-    day = lambda ms: F.lit(ms // MS_PER_DAY).cast("int")
-    return F.unix_date("day").between(day(first_ms), day(last_ms))
-
-
-def new_events(valid: DataFrame, stored: DataFrame | None, settings: Settings = DEFAULTS) -> DataFrame:
-    """First copies that no earlier batch stored.
-
-    A valid copy arrives at most the accepted age (and skew) after or before its timestamp, so copies of one
-    message lie in neighbouring days; only those days of the stored events are read.
+    Copies of a message carry its timestamp, so they lie in the same day; ``stored`` holds the days of the valid
+    events.
     """
-    fresh = dedup_events(valid)
-    if stored is None:
-        return fresh
-    span = valid.agg(F.min(F.unix_millis("event_time")), F.max(F.unix_millis("event_time"))).first()
-    if span[0] is None:
-        return fresh
-    near = stored.filter(_days_around(span[0], span[1])).select("event_id")
-    return fresh.join(near, "event_id", "left_anti")
+    return dedup_events(valid).join(stored.select("event_id"), "event_id", "left_anti")
 
 
-def new_vectors(new: DataFrame, stored: DataFrame | None, settings: Settings = DEFAULTS) -> DataFrame:
+def new_vectors(new: DataFrame, stored: DataFrame, first_ms: int, last_ms: int, settings: Settings) -> DataFrame:
     """Feature vectors of new events, with the stored history of their patients inside the window."""
-    marked = new.withColumn("_new", F.lit(True))
-    if stored is not None:
-        span = new.agg(F.min(F.unix_millis("event_time")), F.max(F.unix_millis("event_time"))).first()
-        if span[0] is not None:
-            at_ms = F.unix_millis("event_time")
-            patients = new.select("patient_id").filter(F.col("patient_id") != "").distinct()
-            context = (
-                stored.filter(_days_around(span[0] - settings.window_ms, span[1]))
-                .filter(at_ms.between(span[0] - settings.window_ms, span[1]))
-                .join(patients, "patient_id", "left_semi")
-                .select(*new.columns)
-                .withColumn("_new", F.lit(False))
-            )
-            marked = marked.unionByName(context)
+    patients = new.select("patient_id").filter(F.col("patient_id") != "").distinct()
+    context = (
+        stored.filter(F.unix_millis("event_time").between(first_ms - settings.window_ms, last_ms))
+        .join(patients, "patient_id", "left_semi")
+        .select(*new.columns)
+    )
+    marked = new.withColumn("_new", F.lit(True)).unionByName(context.withColumn("_new", F.lit(False)))
     return feature_vectors(marked, settings).filter("_new").drop("_new")
 
 
@@ -138,19 +124,31 @@ def run_events(
     """
 
     def batch(rows: DataFrame, query_batch: int) -> None:
-        spark, batch_id = rows.sparkSession, query_batch + first_batch
+        spark, batch_id, accepted = rows.sparkSession, query_batch + first_batch, f"{out}/accepted"
         checked = check_events(rows, settings).persist()
         try:
             _store(quarantine_rows(checked), f"{out}/quarantine", batch_id, "created_at")
-            stored = _earlier(spark, f"{out}/accepted", batch_id)
-            fresh = new_events(valid_events(checked), stored, settings)
-            new = _store(fresh, f"{out}/accepted", batch_id, "event_time")
+            valid = valid_events(checked)
+            at_ms, came_ms = F.unix_millis("event_time"), F.unix_millis("arrival_time")
+            first_ms, last_ms, came_first, came_last = valid.agg(
+                F.min(at_ms), F.max(at_ms), F.min(came_ms), F.max(came_ms)
+            ).first()
+            if first_ms is None:
+                return
+            days = _stored_days(spark, accepted, valid.schema, first_ms - settings.window_ms, last_ms)
+            stored = days.filter(F.col("batch_id") < batch_id)
+            _store(new_events(valid, stored), accepted, batch_id, "event_time")
         finally:
             checked.unpersist()
-        vectors = new_vectors(new, stored, settings)
+        written = _stored_days(spark, accepted, valid.schema, first_ms, last_ms)
+        new = written.filter(F.col("batch_id") == batch_id).select(*valid.columns)
+        vectors = new_vectors(new, stored, first_ms, last_ms, settings)
         scored = predict(vectors if enrich is None else enrich(vectors), scorers)
-        decisions = _store(decide(scored), f"{out}/decisions", batch_id, "created_at")
-        _store(prediction_rows(decisions), f"{out}/predictions", batch_id, "created_at")
+        made = decide(scored)
+        _store(made, f"{out}/decisions", batch_id, "created_at")
+        decided = _stored_days(spark, f"{out}/decisions", made.schema, came_first, came_last)
+        mine = decided.filter(F.col("batch_id") == batch_id)
+        _store(prediction_rows(mine), f"{out}/predictions", batch_id, "created_at")
 
     return (
         raw.writeStream.foreachBatch(batch)
