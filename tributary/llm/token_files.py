@@ -13,10 +13,14 @@ only. Null ids come first. Rows of one id follow each other in the order of thei
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,8 @@ from tokenizers import Tokenizer
 
 from tributary.llm.common import documents_of, pieces, shared_folder, texts_of
 
-BLOCK, LEVEL, CACHE = 65_536, 3, 150_000
+BLOCK, LEVEL, CACHE = 65_536, 3, 1_000_000
+MARKS = (b".", b",")
 PIECE = pa.struct([("doc", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("n_tokens", pa.int64()), ("here", pa.int64())])
 ARROW = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("planes", pa.list_(pa.binary())), ("index", pa.list_(PIECE))])
 FILE = """part long, block long, n long, planes array<binary>,
@@ -53,33 +58,58 @@ def from_planes(planes: list[bytes], n: int, plane: str = "bit") -> np.ndarray:
     return ids
 
 
-@lru_cache(maxsize=2)
-def loaded(tokenizer: str) -> Tokenizer:
-    """Built once per worker process, which serves many tasks."""
-    return Tokenizer.from_str(tokenizer)
-
-
 class Words:
     """Ids of texts from the tokenizers library, which drops white space and never joins what it separates: the library
-    encodes each new word between blanks once, and texts are put together from their words' ids. The words kept are bounded."""
+    encodes each new word between white space once, and texts are put together from their words' ids.
+
+    Memory is bounded: the first CACHE words stay known, words beyond them are encoded anew in each batch.
+    The library lower-cases, so A to Z are lower-cased beforehand where that leaves the text in normal form C.
+    """
 
     def __init__(self, tokenizer: str):
-        self.encode = loaded(tokenizer).encode_batch_fast
-        self.known: dict[str, bytes] = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
+        model = Tokenizer.from_str(tokenizer)
+        self.encode = model.encode_batch_fast
+        self.fold = "Lowercase" in str(json.loads(tokenizer).get("normalizer"))
+        self.known: dict[bytes, bytes] = {}
+
+    def split(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        if self.fold:
+            low = raw.lower()
+            if text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low.decode()):
+                raw = low
+        return raw.split()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.split(" ") if "\n" not in t else t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
         known = self.known
-        new = list({w for x in split for w in x if w not in known})
+        get = known.get
+        split = [self.split(t) for t in texts]
+        found = [list(map(get, x)) for x in split]
+        new = {w for x, y in zip(split, found) if None in y for w, f in zip(x, y) if f is None}
+        # A mark after a letter is a piece of its own, so such a word is its stem's ids and the mark's.
+        ends = [w for w in new if w[-1:] in MARKS and w[-2:-1].isalpha()]
+        new.difference_update(ends)
+        new.update(w for e in ends for w in (e[:-1], e[-1:]) if w not in known)
+        new = list(new)
         for i in range(0, len(new), 10_000):
             some = new[i : i + 10_000]
-            for word, found in zip(some, self.encode(some, add_special_tokens=False)):
-                known[word] = np.array(found.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+            for word, e in zip(some, self.encode([w.decode() for w in some], add_special_tokens=False)):
+                known[word] = array("I", e.ids).tobytes()
+        for word in ends:
+            known[word] = known[word[:-1]] + known[word[-1:]]
+        new += ends
+        out = [b"".join([f or known[w] for w, f in zip(x, y)] if None in y else y) for x, y in zip(split, found)]
+        for word in new[max(0, len(new) - (len(known) - CACHE)) :] if len(known) > CACHE else ():
+            del known[word]
+        return out
+
+
+@lru_cache(maxsize=1)
+def loaded(tokenizer: str) -> Words:
+    """Built once per worker process, which serves many tasks."""
+    return Words(tokenizer)
 
 
 def blocks(docs: Iterator[tuple[int | None, np.ndarray]], part: int, plane: str) -> Iterator[pa.RecordBatch]:
@@ -119,7 +149,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, pl
     ordered = ordered.repartitionByRange("doc_id", "crc").sortWithinPartitions("doc_id", "crc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(model.value)
+        words = loaded(model.value)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
         def each():
