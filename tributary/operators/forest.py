@@ -84,16 +84,22 @@ def train_isolation_forest(
 ) -> DataFrame:
     """Nodes of ``trees`` trees as a DataFrame, each grown in its own group.
 
-    A tree's sample is drawn in two steps by hashes of the row id: a pool shared by all trees (about
-    twice what they need together, out of ``rows``), and per tree the pool's 256 smallest hashes, cut inside
-    every map task before the shuffle. The trees thus see at most 256 rows each, drawn from all rows.
+    A tree's sample is the 256 rows with the smallest hashes of row id and tree, out of all ``rows``. Each row names the trees
+    whose bound its hash is below (a bound that about twice 256 rows per tree pass), so it is copied once per such
+    tree, and every map task keeps its smallest 256 per tree before the shuffle.
     """
+    if rows < 2:
+        raise ValueError("a forest needs two rows at least")
     names = [f"x{i}" for i in range(len(FOREST_INPUTS))]
-    share = min(1.0, 2.0 * trees * SAMPLE / max(rows, 1))
-    drawn = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))
-    pool = vectors.select(F.col(id_column).alias("id"), *_input_columns()).filter(drawn)
-    spread = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    window = Window.partitionBy("tree").orderBy(F.xxhash64("id", "tree", F.lit(seed)), "id")
+    share = min(1.0, 2.0 * SAMPLE / rows)
+    trees_of = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.pmod(F.xxhash64(F.col("id"), t, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)),
+    )
+    all_rows = vectors.select(F.col(id_column).alias("id"), *_input_columns())
+    spread = all_rows.withColumn("tree", F.explode(trees_of))
+    order = F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1 << 30))
+    window = Window.partitionBy("tree").orderBy(order, "id")
     samples = spread.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= SAMPLE)
 
     def grow(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:

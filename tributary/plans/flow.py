@@ -41,6 +41,17 @@ def event_number(event_id: Column) -> Column:
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 
+def source_state(spark: SparkSession, sf_dir: str) -> str:
+    """The source with its files' sizes and times: a stage table is built anew when a file changes or is added."""
+    jvm, found = spark._jvm, []
+    for name in ("events", "customer"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(path):
+            found += sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in system.listStatus(path))
+    return f"{sf_dir} {found}"
+
+
 def stage_table(
     spark: SparkSession, sf_dir: str, stage: str, build: Callable[[], DataFrame], order: str = "arrival_time"
 ) -> DataFrame:
@@ -48,7 +59,7 @@ def stage_table(
 
     Each file is sorted by time, so a report on the last minute or hour skips the row groups outside it.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, stage)
+    key = (spark.sparkContext.applicationId, source_state(spark, sf_dir), stage)
     if key not in _WRITTEN:
         path = f"{shared_folder(spark)}/{key[0]}/{uuid.uuid4().hex}-{stage}"
         build().sortWithinPartitions(order).write.parquet(path)
@@ -57,7 +68,7 @@ def stage_table(
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check_events(wire_events(spark, sf_dir))
+    return check_events(wire_events(spark, sf_dir, spark.sparkContext.defaultParallelism))
 
 
 def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +175,7 @@ def stream_tables(spark: SparkSession, sf_dir: str) -> str:
     The messages are put into three folders by the date in their timestamp, one micro-batch each, so
     copies and history reach over micro-batches.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, "streams")
+    key = (spark.sparkContext.applicationId, source_state(spark, sf_dir), "streams")
     if key not in _WRITTEN:
         folder = f"{shared_folder(spark)}/{key[0]}/{uuid.uuid4().hex}-streams"
         day = F.get_json_object("value", "$.timestamp")

@@ -18,12 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than cores (one small file); else unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _every(n: int, rest: int = 0) -> Column:
     return F.col("n") % n == rest
 
@@ -138,9 +132,10 @@ def _payload() -> Column:
     )
 
 
-def wire_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``value`` (JSON text) and ``arrival_time`` of every message, copies included."""
-    base = spread(table(spark, sf_dir, "events")).select(
+def wire_events(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
+    """``value`` (JSON text) and ``arrival_time`` of every message, copies included; dealt to ``partitions`` if given."""
+    events = table(spark, sf_dir, "events")
+    base = (events.repartition(partitions) if partitions else events).select(
         F.col("event_id").alias("n"),
         F.col("ts").cast("timestamp").alias("ts"),
         "user_id",

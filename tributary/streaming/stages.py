@@ -2,15 +2,15 @@
 
 ``run_events`` takes raw messages to accepted events, quarantine, predictions and decisions, with the
 batch operators inside ``foreachBatch``. Tables are laid out by day and batch; a micro-batch that runs again
-replaces its own rows, so a restart repeats nothing. Looking back (copies, history) lists and reads only the
-days it needs, however long the stream has run. Rows are never dropped for being late, only flagged stale or
-refused by validation.
+replaces its own rows, so a restart repeats nothing. Looking back for history and alerts reads only the days it
+needs; looking for earlier copies reads the ids of all stored events, since an id may come again on any day. Rows are
+never dropped for being late, only flagged stale or refused by validation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
-from tributary.operators.alerts import alert_candidates, alert_rows, dedup_key
+from tributary.operators.alerts import open_alerts
 from tributary.operators.decisions import decide
 from tributary.operators.dedup import dedup_events
 from tributary.operators.features import feature_vectors
@@ -32,39 +32,46 @@ def stream_validate(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return check_events(raw, settings)
 
 
-def stream_dedup(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """First copy per event id within the idempotency time, from state (arrival in order up to that time)."""
-    return events.withWatermark("arrival_time", f"{settings.idempotency_s} seconds").dropDuplicatesWithinWatermark(
-        ["event_id"]
-    )
+def stream_dedup(events: DataFrame) -> DataFrame:
+    """One row per event id for ever, from state: an id is known however late its next copy arrives."""
+    return events.dropDuplicates(["event_id"])
 
 
-def stream_alerts(decisions: DataFrame, settings: Settings = DEFAULTS, delay: str = "1 day") -> DataFrame:
-    """Alert rows with at most one alert per dedup key across micro-batches.
+def minute_rows(events: DataFrame, step: str | None = None) -> DataFrame:
+    """Per minute (with ``step``, per sliding minute) and patient: events and stale events. Rows of several batches add up."""
+    window = F.window("arrival_time", "1 minute", step) if step else F.window("arrival_time", "1 minute")
+    late = F.unix_micros("arrival_time") - F.unix_micros("event_time") > DEFAULTS.lateness_s * 1_000_000
+    counted = events.groupBy(window.alias("w"), "patient_id").agg(F.count("*").alias("events"), F.count_if(late).alias("stale"))
+    return counted.select(F.col("w.start").alias("window_start"), "patient_id", "events", "stale")
 
-    A key belongs to one bucket of ``alert_bucket_s`` seconds; ``delay`` is how long decisions of a bucket
-    may still come in.
-    """
-    keyed = alert_candidates(decisions).withColumn("dedup_key", dedup_key(settings))
-    return alert_rows(keyed.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["dedup_key"]))
 
+def run_kpis(
+    events: DataFrame, out: str, checkpoint: str, step: str | None = None, trigger: dict | None = None
+) -> StreamingQuery:
+    """Stores the minute rows of each micro-batch; a late event adds to its minute, whenever it comes."""
 
-def stream_kpis(events: DataFrame, delay: str = "10 minutes", step: str | None = None) -> DataFrame:
-    """Events, stale events and patients (approximate) per minute; with ``step`` over sliding minutes."""
-    window = F.window("arrival_time", "1 minute", step) if step else F.window("arrival_time", "1 minute")
-    late = F.unix_micros("arrival_time") - F.unix_micros("event_time") > DEFAULTS.lateness_s * 1_000_000
-    return (
-        events.withWatermark("arrival_time", delay)
-        .groupBy(window.alias("w"))
-        .agg(
-            F.count("*").alias("events"),
-            F.count_if(late).alias("stale"),
-            F.approx_count_distinct("patient_id").alias("patients"),
-        )
-        .select(F.col("w.start").alias("window_start"), "events", "stale", "patients")
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        _store(minute_rows(rows, step), out, batch_id, "window_start")
+
+    return _started(events, batch, checkpoint, trigger)
+
+
+def kpis(spark: SparkSession, out: str) -> DataFrame:
+    """Events, stale events and exact patients per minute, over all micro-batches so far."""
+    by_patient = spark.read.parquet(out).groupBy("window_start", "patient_id").agg(
+        F.sum("events").alias("events"), F.sum("stale").alias("stale")
+    )
+    return by_patient.groupBy("window_start").agg(
+        F.sum("events").alias("events"), F.sum("stale").alias("stale"), F.count(F.nullif("patient_id", F.lit(""))).alias("patients")
     )
 
 
+def _started(rows: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    """``trigger`` as in ``DataStreamWriter.trigger``; by default all that is there, then the end."""
+    writer = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
 def _store(df: DataFrame, folder: str, batch_id: int, date_of: str) -> None:
     """Write a micro-batch's rows by day and batch; the same batch run again replaces its own rows only."""
     day = F.date_from_unix_date(F.floor(F.unix_millis(date_of) / 86_400_000).cast("int"))
@@ -74,25 +81,25 @@ def _store(df: DataFrame, folder: str, batch_id: int, date_of: str) -> None:
     )
 
 
-def _stored_days(spark: SparkSession, folder: str, schema: StructType, first_ms: int, last_ms: int) -> DataFrame:
-    """Stored rows of the days between two instants: only those days' folders are listed and read."""
-    start, end = (datetime.fromtimestamp(ms / 1000, timezone.utc).date() for ms in (first_ms, last_ms))
-    days = ",".join(str(start + timedelta(days=i)) for i in range((end - start).days + 1))
+def _stored(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """Rows stored so far, with their day and batch; none before the first batch."""
     full = StructType([*schema.fields, StructField("day", DateType()), StructField("batch_id", IntegerType())])
     try:
-        return spark.read.schema(full).option("basePath", folder).parquet(f"{folder}/day={{{days}}}")
+        return spark.read.schema(full).parquet(folder)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], full)
         raise
 
 
-def new_events(valid: DataFrame, stored: DataFrame) -> DataFrame:
-    """First copies that no earlier micro-batch stored.
+def _days(stored: DataFrame, first_ms: int, last_ms: int) -> DataFrame:
+    """The stored rows of the days between two instants; a filter on the partition, so other days are not read."""
+    first, last = (datetime.fromtimestamp(ms / 1000, timezone.utc).date() for ms in (first_ms, last_ms))
+    return stored.filter(F.col("day").between(F.lit(first), F.lit(last)))
 
-    Copies of a message carry its timestamp, so they lie in the same day; ``stored`` holds the days of the valid
-    events.
-    """
+
+def new_events(valid: DataFrame, stored: DataFrame) -> DataFrame:
+    """First copies whose id no earlier micro-batch stored, on whatever day. Of ``stored`` only the id is read."""
     return dedup_events(valid).join(stored.select("event_id"), "event_id", "left_anti")
 
 
@@ -100,7 +107,7 @@ def new_vectors(new: DataFrame, stored: DataFrame, first_ms: int, last_ms: int,
     """Feature vectors of new events, with the stored history of their patients inside the window."""
     patients = new.select("patient_id").filter(F.col("patient_id") != "").distinct()
     context = (
-        stored.filter(F.unix_millis("event_time").between(first_ms - settings.window_ms, last_ms))
+        stored.filter(F.col("event_time").between(*(F.timestamp_millis(F.lit(ms)) for ms in (first_ms - settings.window_ms, last_ms))))
         .join(patients, "patient_id", "left_semi")
         .select(*new.columns)
     )
@@ -116,6 +123,7 @@ def run_events(
     settings: Settings = DEFAULTS,
     enrich: Callable[[DataFrame], DataFrame] | None = None,
     first_batch: int = 0,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Raw messages to the tables accepted, quarantine, predictions and decisions under ``out``.
 
@@ -135,40 +143,40 @@ def run_events(
             ).first()
             if first_ms is None:
                 return
-            days = _stored_days(spark, accepted, valid.schema, first_ms - settings.window_ms, last_ms)
-            stored = days.filter(F.col("batch_id") < batch_id)
+            stored = _stored(spark, accepted, valid.schema).filter(F.col("batch_id") < batch_id)
             _store(new_events(valid, stored), accepted, batch_id, "event_time")
         finally:
             checked.unpersist()
-        written = _stored_days(spark, accepted, valid.schema, first_ms, last_ms)
+        written = _days(_stored(spark, accepted, valid.schema), first_ms, last_ms)
         new = written.filter(F.col("batch_id") == batch_id).select(*valid.columns)
-        vectors = new_vectors(new, stored, first_ms, last_ms, settings)
+        vectors = new_vectors(new, _days(stored, first_ms - settings.window_ms, last_ms), first_ms, last_ms, settings)
         scored = predict(vectors if enrich is None else enrich(vectors), scorers)
         made = decide(scored)
         _store(made, f"{out}/decisions", batch_id, "created_at")
-        decided = _stored_days(spark, f"{out}/decisions", made.schema, came_first, came_last)
+        decided = _days(_stored(spark, f"{out}/decisions", made.schema), came_first, came_last)
         mine = decided.filter(F.col("batch_id") == batch_id)
         _store(prediction_rows(mine), f"{out}/predictions", batch_id, "created_at")
 
-    return (
-        raw.writeStream.foreachBatch(batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _started(raw, batch, checkpoint, trigger)
 
 
 def run_alerts(
-    spark: SparkSession, out: str, checkpoint: str, settings: Settings = DEFAULTS, schema=None
+    spark: SparkSession, out: str, checkpoint: str, settings: Settings = DEFAULTS, schema=None, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Decisions table as a stream to the alerts table under ``out``."""
-    stored = spark.read.parquet(f"{out}/decisions")
-    decisions = spark.readStream.schema(schema or stored.schema).parquet(f"{out}/decisions")
-    return (
-        stream_alerts(decisions.drop("batch_id", "day"), settings)
-        .writeStream.format("parquet")
-        .option("path", f"{out}/alerts")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Decisions table as a stream to the alerts table under ``out``: one alert per dedup key, the first processed.
+
+    A key holds its bucket of time, so earlier alerts of the batch's keys are in the days of its own alerts: the look-up
+    is exact however late a decision comes, and reads those days only.
+    """
+    decisions = spark.readStream.schema(schema or spark.read.parquet(f"{out}/decisions").schema).parquet(f"{out}/decisions")
+    folder, bucket_ms = f"{out}/alerts", settings.alert_bucket_s * 1000
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        alerts = open_alerts(rows, settings)
+        first, last = rows.agg(F.min(F.unix_millis("created_at")), F.max(F.unix_millis("created_at"))).first()
+        if first is None:
+            return
+        stored = _days(_stored(spark, folder, alerts.schema), first - bucket_ms, last + bucket_ms).filter(F.col("batch_id") < batch_id)
+        _store(alerts.join(stored.select("dedup_key"), "dedup_key", "left_anti").select(*alerts.columns), folder, batch_id, "created_at")
+
+    return _started(decisions.drop("batch_id", "day"), batch, checkpoint, trigger)
