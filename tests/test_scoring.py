@@ -139,17 +139,17 @@ def decided(spark, kind, features, predictions):
     return D.decide(df.join(listed, "event_id")).first()
 
 
-def test_decision_of_a_deteriorating_patient(spark):
+def test_decision_weighs_scores_and_rules(spark):
     got = decided(
         spark,
         "patient_vital",
-        {"heart_rate": 128.0, "spo2": 91.0, "respiratory_rate": 27.0, "spo2_min_5m": 91.0},
-        [prediction("anomaly_detector", 0.94, 0.91), prediction("risk_predictor", 0.81, 0.80)],
+        {"heart_rate": 144.0, "spo2": 89.5, "respiratory_rate": 30.0, "spo2_min_5m": 89.5},
+        [prediction("anomaly_detector", 0.72, 0.88), prediction("risk_predictor", 0.66, 0.64)],
     )
     assert (got["severity"], got["action"]) == ("HIGH", "REVIEW_RECOMMENDED")
     assert got["triggered_rules"] == ["low_spo2", "tachycardia", "high_respiratory_rate"]
-    assert (got["decision_score"], got["confidence"]) == (0.891, 0.855)
-    assert got["explanation"]["rule_reasons"][0] == "SpO2 91.0 below 92"
+    assert (got["decision_score"], got["confidence"]) == (0.747, 0.76)  # 0.45, 0.3 and 0.25 (rule of 0.9); the mean
+    assert got["explanation"]["rule_reasons"][0] == "SpO2 89.5 below 92"
     assert got["explanation"]["partial"] is False
 
 
