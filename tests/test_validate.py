@@ -1,12 +1,13 @@
 """Failure codes per mutation of one good message."""
 
 import json
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from tributary.operators.dedup import dedup_events, duplicate_report, replay_quarantine, upsert_dimension
-from tributary.operators.validate import check_events, quarantine_rows, split_valid_quarantine, valid_events
+from tributary.operators.validate import check_events, parse_time, quarantine_rows, split_valid_quarantine, valid_events
 from tributary.schema import PAYLOADS
 
 NOW = "2024-03-01 12:00:00"
@@ -200,3 +201,33 @@ def test_quarantine_keeps_long_texts(spark, column):
     row = quarantine_rows(check_events(raw_rows(spark, [long]))).first()
     assert len(row["error"]) <= 2000
     assert row["payload"] == long
+
+
+TIMES = [
+    "2024-03-01T11:59:30+00:00", "2024-03-01T11:59:30.123456789Z", "2024-03-01T11+00:00", "2024-03-01T11:59:30+04",
+    "2024-03-01_11:59:30+00:00", "2024-03-01-11:59:30-05:30", "2024-03-01T11:59:30+01:02:03", "2024-03-01T11:59:30-01:02:03.5",
+    "20240301T115930Z", "20240301T1159+0200", "20240301T11:59Z", "2024-03-01T115930,25+02:00", "2024-03-01T11:59:30+20:00",
+    "2024-W09-5T11:59:30Z", "2024W095T115930Z", "2024-W09T11Z", "2020-W53-7T00:00Z", "2021-W53-1T00:00Z", "2024-W00-1T00:00Z",
+    "2024-W01-8T00:00Z", "2024-W01-0T00:00Z", "2024-13-01T11:59:30Z", "2024-02-30T11:59:30Z", "2024-03-01T24:01:00Z", "2024-03-01T11:60Z",
+    "2024-03-01T11:59:60Z", "2024-03-01T11:5930Z", "2024-03-01T11:59.5Z", "2024-03-01T11,25+01.5", "2024-03-01T1Z", "2024-03-01T11:59:30", "2024-03-01",
+    "20240301", "2024-W09", "2024-03-01T", "2024-13-01", "2024-03-01T11:59:30+0", "0000-01-01T00:00Z", "", "now", "2024-03-01T11:59:30+25:00",
+]
+
+
+def test_times_are_read_as_python_reads_them(spark):
+    rows = spark.createDataFrame([(t,) for t in TIMES], "t string").select("t", F.unix_micros(parse_time(F.col("t"))).alias("us"))
+    failures = {r["value"]: r["failure"] for r in check_events(raw_rows(spark, [change(timestamp=t) for t in TIMES])).collect()}
+    wrong = []
+    for t, us in map(tuple, rows.collect()):
+        try:
+            known = datetime.fromisoformat(t.replace("Z", "+00:00"))
+            error = None if known.tzinfo else "timestamp must be timezone-aware"
+        except ValueError:
+            known, error = None, "timestamp is not ISO-8601"
+        delta = None if known is None or error else known - datetime(1970, 1, 1, tzinfo=timezone.utc)
+        expected = delta and (delta.days * 86400 + delta.seconds) * 1_000_000 + delta.microseconds
+        failure = failures[change(timestamp=t)]
+        said = failure["error"] if failure and ("not ISO" in failure["error"] or "aware" in failure["error"]) else None
+        if us != expected or (said != error and t):
+            wrong.append((t, us, expected, said, error))
+    assert not wrong

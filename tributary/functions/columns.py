@@ -11,19 +11,23 @@ from pyspark.sql import functions as F
 
 
 def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
-    """Build a column expression once per JVM and set of arguments.
+    """Build a column expression once per JVM and set of arguments; those of an earlier JVM are dropped.
 
     Expressions are immutable and refer to columns by name. Building a large one takes thousands of calls
     into the JVM, which would be the main cost of a small micro-batch.
     """
     known: dict[Hashable, Column] = {}
+    owner = None
 
     @functools.wraps(build)
     def get(*args: Hashable) -> Column:
-        key = (id(SparkContext._gateway), *args)
-        if key not in known:
-            known[key] = build(*args)
-        return known[key]
+        nonlocal owner
+        if owner is not SparkContext._gateway:
+            known.clear()
+            owner = SparkContext._gateway
+        if args not in known:
+            known[args] = build(*args)
+        return known[args]
 
     return get
 

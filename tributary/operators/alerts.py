@@ -143,10 +143,11 @@ def alert_lifecycle(alerts: DataFrame, commands: DataFrame) -> DataFrame:
 
 
 def _audit(
-    df: DataFrame, trace: Column, actor: Column | str, action: str, kind: str, resource: Column, at: Column, meta=None
+    df: DataFrame, trace: Column, actor: Column | str, action: str, kind: str, resource: Column, at: Column, meta=None, command=()
 ) -> DataFrame:
+    """``command`` holds the id of the row's own command, where several may meet in one instant."""
     return df.select(
-        stable_id("audit", F.lit(action), resource, F.unix_micros(at).cast("string")).alias("id"),
+        stable_id("audit", F.lit(action), resource, F.unix_micros(at).cast("string"), *command).alias("id"),
         trace.alias("trace_id"),
         (F.lit(actor) if isinstance(actor, str) else actor).alias("actor"),
         F.lit(action).alias("action"),
@@ -184,7 +185,7 @@ def audit_trail(events: DataFrame, alerts: DataFrame, commands: DataFrame) -> Da
         alerts.select(F.col("id").alias("alert_id"), "event_id"), "alert_id"
     )
     resolved = _audit(
-        resolves, F.col("event_id"), F.col("actor"), RESOLVED, "alert", F.col("alert_id"), F.col("at")
+        resolves, F.col("event_id"), F.col("actor"), RESOLVED, "alert", F.col("alert_id"), F.col("at"), None, [F.col("command_id")]
     )
     return validation_audit(events).unionByName(created).unionByName(acked).unionByName(resolved)
 
@@ -194,23 +195,23 @@ STATES = ("VALIDATING", "FEATURE_EXTRACTION", "INFERENCE", "PARTIAL_SUCCESS", "D
 
 
 def processing_status(
-    events: DataFrame, vectors: DataFrame, scored: DataFrame, decisions: DataFrame, finished: DataFrame
+    events: DataFrame, vectors: DataFrame, scored: DataFrame, predictions: DataFrame, decisions: DataFrame, finished: DataFrame
 ) -> DataFrame:
-    """Furthest stage per accepted event, from the ids present in each stage table.
+    """Furthest stage per accepted event, from the ids present in each stage table; ``predictions`` tell which were cut short.
 
     The stages are unioned with the number of their state and reduced per event by one maximum,
     combined before the only shuffle, in place of a chain of joins.
     """
 
-    def reached(df: DataFrame, state: Column | str) -> DataFrame:
-        named = F.lit(state) if isinstance(state, str) else state
-        return df.select("event_id", F.array_position(states, named).cast("int").alias("state"))
+    def reached(df: DataFrame, state: str) -> DataFrame:
+        return df.select("event_id", F.array_position(states, F.lit(state)).cast("int").alias("state"))
 
     states = F.array(*[F.lit(s) for s in STATES])
     stages = (
         reached(events, "VALIDATING")
         .unionByName(reached(vectors, "FEATURE_EXTRACTION"))
-        .unionByName(reached(scored, F.col("inference_status")))
+        .unionByName(reached(scored, "INFERENCE"))
+        .unionByName(reached(predictions.filter(F.col("status").isin("timeout", "error")), "PARTIAL_SUCCESS"))
         .unionByName(reached(decisions, "DECISION"))
         .unionByName(reached(finished, "COMPLETED"))
     )

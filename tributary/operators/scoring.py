@@ -227,9 +227,10 @@ def _outcome(model: Model, limit_ms: int, available: Scorers, calls: Column | No
     if calls is None:
         return F.lit("success"), F.lit(0.0)
     call = F.try_element_at(calls, F.lit(model.name))
+    # A call beyond its limit was cut off there, so it took no longer.
     return (
         classify_outcome(call["latency_ms"], call["failed"], call["breaker_open"], limit_ms),
-        call["latency_ms"],
+        F.when(call["latency_ms"].isNotNull(), F.least(call["latency_ms"], F.lit(float(limit_ms)))),
     )
 
 

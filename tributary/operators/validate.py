@@ -43,9 +43,10 @@ FALSE_WORDS = ("0", "off", "f", "false", "n", "no")
 _OBJECT_TEXT = r"(?s)^\s*\{.*\}\s*$"
 _FLOAT_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 _INT_TEXT = r"^\s*[+-]?\d+(\.0*)?\s*$"
-_DATE, _CLOCK, _ZONE = r"\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}(:\d{2}([.,]\d+)?)?", r"(Z|[+-]\d{2}:?\d{2})"
+_CLOCK = r"(?:\d{2}(?::\d{2}(?::\d{2})?)?|\d{4}(?:\d{2})?)(?:[.,]\d+)?"  # the fraction is always one of a second
+_DATE = r"\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-\d)?|\d{4}W\d{2}\d?"
+_ISO = rf"^({_DATE})(?:(?s:.)({_CLOCK})(?:([+-])({_CLOCK}))?)?$"  # date, clock, sign and clock of the offset
 _PLAIN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
-_BASIC = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})?"
 _BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0"
 
 
@@ -107,23 +108,50 @@ def _field_bad(event_type: str, field: Field) -> Column:
     return value.isNull() & raw.isNotNull()
 
 
-def parse_time(text: Column) -> Column:
-    """ISO-8601 text with a zone to a timestamp; null without a zone or when the instant does not exist."""
-    extended = F.when(text.rlike(_BASIC), F.regexp_replace(text, _BASIC, "$1-$2-$3T$4:$5:$6")).otherwise(text)
-    extended = F.regexp_replace(extended, r"T(\d{2}:\d{2}):?([Z+-])", "T$1:00$2")
-    extended = F.regexp_replace(extended, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    general = F.replace(extended, F.lit(","), F.lit(".")).try_cast("timestamp")
-    return F.when(text.rlike(_PLAIN), text.try_cast("timestamp")).when(
-        _has_iso_shape(text) & _has_zone(text), general
-    )
+def _day_number(date: Column) -> Column:
+    """Days since 1970 of a calendar or week date in extended or basic form; null for a day that does not exist."""
+    digits = F.replace(date, F.lit("-"))
+    year = F.substr(digits, F.lit(1), F.lit(4))
+    calendar = F.concat_ws("-", year, F.substr(digits, F.lit(5), F.lit(2)), F.substr(digits, F.lit(7), F.lit(2)))
+    week = F.substr(digits, F.lit(6), F.lit(2)).try_cast("int")
+    weekday = F.coalesce(F.nullif(F.substr(digits, F.lit(8), F.lit(1)), F.lit("")), F.lit("1")).try_cast("int")
+    fourth = F.concat(year, F.lit("-01-04")).try_cast("date")  # lies in week 1
+    in_week = F.date_add(fourth, 7 * (week - 1) + weekday - 1 - F.weekday(fourth))
+    exists = week.between(1, 53) & weekday.between(1, 7) & (F.extract(F.lit("YEAROFWEEK"), in_week) == year.try_cast("int"))
+    found = F.when(date.contains("W"), F.when(exists, in_week)).otherwise(calendar.try_cast("date"))
+    return F.when(year != "0000", F.unix_date(found))
+
+
+def _clock_micros(clock: Column) -> Column:
+    """Microseconds of a clock text in extended or basic form; null out of range, digits past the sixth are cut."""
+    digits, fraction = F.regexp_replace(clock, r"[.,]\d+$|:", ""), F.regexp_extract(clock, r"[.,](\d+)$", 1)
+    part = lambda at: F.coalesce(F.nullif(F.substr(digits, F.lit(at), F.lit(2)), F.lit("")), F.lit("0")).try_cast("int")
+    h, m, s = part(1), part(3), part(5)
+    micros = F.rpad(F.substr(fraction, F.lit(1), F.lit(6)), 6, "0").try_cast("int")
+    whole = ((h * 60 + m) * 60 + s).cast("bigint") * 1_000_000 + micros
+    return F.when(clock == "", F.lit(0).cast("bigint")).when((h < 24) & (m < 60) & (s < 60), whole)
+
 
+def _instant(text: Column) -> Column:
+    """ISO-8601 text to a timestamp, taken as UTC without a zone; null when it does not parse or does not exist."""
+    utc = F.replace(text, F.lit("Z"), F.lit("+00:00"))
+    group = lambda i: F.regexp_extract(utc, _ISO, i)
+    offset = F.when(group(3) == "-", -1).otherwise(1) * _clock_micros(group(4))
+    micros = _day_number(group(1)).cast("bigint") * 86_400_000_000 + _clock_micros(group(2)) - offset
+    return F.when(utc.rlike(_ISO), F.timestamp_micros(micros))
 
-def _has_iso_shape(text: Column) -> Column:
-    return text.rlike(f"^{_DATE}([T ]{_CLOCK}{_ZONE}?)?$") | text.rlike(r"^\d{8}T\d{4}(\d{2}([.,]\d+)?)?" + _ZONE + "?$")
+
+def parse_time(text: Column) -> Column:
+    """ISO-8601 text with a zone to a timestamp; null without a zone or when the instant does not exist.
+
+    Calendar and week dates, clocks from the hour on, any one character between them, offsets up to fractions of a
+    second. The usual form is cast as it is.
+    """
+    return F.when(text.rlike(_PLAIN), F.coalesce(text.try_cast("timestamp"), _instant(text))).when(_has_zone(text), _instant(text))
 
 
 def _has_zone(text: Column) -> Column:
-    return text.rlike(r"[T ].*" + _ZONE + "$")
+    return F.regexp_extract(F.replace(text, F.lit("Z"), F.lit("+00:00")), _ISO, 3) != ""
 
 
 def _fail(code: str, error: Column | str) -> Column:
@@ -150,10 +178,8 @@ def _envelope_problem() -> Column:
 @built_once
 def _timestamp_failure(settings: Settings) -> Column:
     ahead = seconds_between(F.col("event_time"), F.col("arrival_time"))
-    unreadable = (
-        F.when(~_has_iso_shape(F.col("timestamp")), _fail(INVALID, NOT_ISO))
-        .when(~_has_zone(F.col("timestamp")), _fail(INVALID, NO_ZONE))
-        .otherwise(_fail(INVALID, NOT_ISO))
+    unreadable = F.when(_has_zone(F.col("timestamp")) | _instant(F.col("timestamp")).isNull(), _fail(INVALID, NOT_ISO)).otherwise(
+        _fail(INVALID, NO_ZONE)
     )
     return (
         F.when(F.col("event_time").isNull(), unreadable)

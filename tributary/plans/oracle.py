@@ -209,7 +209,7 @@ SELECT event_id, event_type, n, arrival_us, position,
        WHEN outcome = 'success' THEN label END AS label,
   CASE WHEN swapped THEN CASE WHEN hits > 0 THEN 0.7::DOUBLE ELSE 0.55::DOUBLE END
        WHEN outcome = 'success' THEN confidence END AS confidence,
-  CASE WHEN swapped OR outcome = 'circuit_open' THEN 0.0::DOUBLE ELSE call_ms END AS latency_ms,
+  CASE WHEN swapped OR outcome = 'circuit_open' THEN 0.0::DOUBLE ELSE least(call_ms, limit_ms) END AS latency_ms,
   CASE WHEN swapped THEN 'fallback' WHEN outcome = 'success' AND model_name = 'anomaly_detector_shadow' THEN 'shadow'
        ELSE outcome END AS status,
   NOT swapped AND model_name = 'anomaly_detector_shadow' AS shadow,

@@ -862,13 +862,14 @@ register(
 
 _AUDIT_SQL = """audit AS (
   SELECT trace_id, 'ingestion' AS actor, 'EVENT_VALIDATED' AS action, 'event' AS resource_type, event_id AS resource_id,
-    NULL AS severity, arrival_us AS created_us FROM accepted
-  UNION ALL SELECT trace_id, 'alert-service', 'ALERT_CREATED', 'alert', alert_id, severity, arrival_us FROM alerts
-  UNION ALL SELECT event_id, acknowledged_by, 'ALERT_ACKNOWLEDGED', 'alert', alert_id, severity, acknowledged_us
+    NULL AS severity, arrival_us AS created_us, NULL AS command_id FROM accepted
+  UNION ALL SELECT trace_id, 'alert-service', 'ALERT_CREATED', 'alert', alert_id, severity, arrival_us, NULL FROM alerts
+  UNION ALL SELECT event_id, acknowledged_by, 'ALERT_ACKNOWLEDGED', 'alert', alert_id, severity, acknowledged_us, NULL
     FROM lifecycle WHERE acknowledged_us IS NOT NULL
-  UNION ALL SELECT event_id, actor, 'ALERT_RESOLVED', 'alert', alert_id, NULL, at_us FROM commands
+  UNION ALL SELECT event_id, actor, 'ALERT_RESOLVED', 'alert', alert_id, NULL, at_us, command_id FROM commands
     WHERE command = 'resolve'),
-audited AS (SELECT *, sha256('audit|' || action || '|' || resource_id || '|' || created_us) AS id FROM audit)"""
+audited AS (SELECT * EXCLUDE (command_id),
+  sha256(concat_ws('|', 'audit', action, resource_id, created_us, command_id)) AS id FROM audit)"""
 
 
 def _audit(spark, sf) -> DataFrame:
@@ -900,9 +901,9 @@ _STAGE_CUTS = ("2024-01-29 00:00:00", "2024-01-25 00:00:00", "2024-01-20 00:00:0
 def _status(spark, sf) -> DataFrame:
     events = flow.accepted(spark, sf)
     passed = [F.col("arrival_time") <= at(cut) for cut in _STAGE_CUTS]
-    ran = flow.scored_with_calls(spark, sf).select("event_id", "arrival_time", "inference_status")
+    cut_short = flow.predictions(spark, sf).filter(F.col("created_at") <= at(_STAGE_CUTS[1]))
     return A.processing_status(
-        events, events.filter(passed[0]), ran.filter(passed[1]), events.filter(passed[2]), events.filter(passed[3])
+        events, events.filter(passed[0]), events.filter(passed[1]), cut_short, events.filter(passed[2]), events.filter(passed[3])
     )
 
 
