@@ -135,10 +135,15 @@ def _clock_micros(clock: Column) -> Column:
 def _instant(text: Column) -> Column:
     """ISO-8601 text to a timestamp, taken as UTC without a zone; null when it does not parse or does not exist."""
     utc = F.replace(text, F.lit("Z"), F.lit("+00:00"))
-    group = lambda i: F.regexp_extract(utc, _ISO, i)
-    offset = F.when(group(3) == "-", -1).otherwise(1) * _clock_micros(group(4))
-    micros = _day_number(group(1)).cast("bigint") * 86_400_000_000 + _clock_micros(group(2)) - offset
-    return F.when(utc.rlike(_ISO), F.timestamp_micros(micros))
+    names = ("date", "clock", "sign", "offset")
+    parts = F.struct(*[F.regexp_extract(utc, _ISO, i).alias(name) for i, name in enumerate(names, 1)])
+
+    def micros(p: Column) -> Column:
+        offset = F.when(p["sign"] == "-", -1).otherwise(1) * _clock_micros(p["offset"])
+        return _day_number(p["date"]).cast("bigint") * 86_400_000_000 + _clock_micros(p["clock"]) - offset
+
+    # Through a lambda, so that the long expression stands in the plan once and runs for these rows only.
+    return F.when(utc.rlike(_ISO), F.timestamp_micros(F.transform(F.array(parts), micros)[0]))
 
 
 def parse_time(text: Column) -> Column:
