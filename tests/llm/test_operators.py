@@ -148,6 +148,18 @@ def test_similar_documents(spark, docs, rows, empty):
     assert simhash_similar.one_per_group(empty).count() == 0
 
 
+def kept_of(spark, made):
+    return sorted(r.doc_id for r in simhash_similar.one_per_group(spark.createDataFrame(made, "doc_id long, text string")).collect())
+
+
+def test_similar_pairs_are_all_found(spark):
+    made = []
+    for k in range(150):  # 8 of 10 shingles: a similarity of exactly 0.8, and no third text to be found by
+        words = [f"p{k}x{i}" for i in range(14)]
+        made += [(k, " ".join(words)), (1000 + k, " ".join(words[:12]))]
+    assert kept_of(spark, made) == list(range(150))
+
+
 def test_token_files(docs, rows, empty, spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
