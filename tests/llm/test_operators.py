@@ -148,6 +148,11 @@ def test_similar_documents(spark, docs, rows, empty):
     assert simhash_similar.one_per_group(empty).count() == 0
 
 
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def kept_of(spark, made):
     return sorted(r.doc_id for r in simhash_similar.one_per_group(spark.createDataFrame(made, "doc_id long, text string")).collect())
 
@@ -160,6 +165,26 @@ def test_similar_pairs_are_all_found(spark):
     assert kept_of(spark, made) == list(range(150))
 
 
+@pytest.mark.parametrize("sample, tile", [(16, 1024), (1, 16)])
+def test_similar_links_are_exact(spark, monkeypatch, sample, tile):
+    monkeypatch.setattr(simhash_similar, "SAMPLE", sample)
+    monkeypatch.setattr(simhash_similar, "TILE", tile)
+    draw = np.random.default_rng(3)
+    line, made = [f"common{i}" for i in range(20)], []
+    for k in range(12):
+        base = [f"b{k}x{i}" for i in range(30 if k else 80)]
+        for n in range(50 if k == 0 else 4):  # one large group, edited more and more, and small ones; all hold the line
+            words = [w if draw.random() > 0.002 * n else f"e{k}x{n}x{i}" for i, w in enumerate(line + base)]
+            made.append((len(made), " ".join(words[: len(words) - n % 6])))
+    sets = {i: shingles(t) for i, t in made}
+    root, before = {i: i for i in sets}, None
+    near = {i: [j for j in sets if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8] for i in sets}
+    while root != before:
+        before, root = root, {i: min(root[j] for j in near[i]) for i in sets}
+    assert 20 < len(set(root.values())) < len(made) - 20
+    assert kept_of(spark, made) == sorted(set(root.values()))
+
+
 def test_token_files(docs, rows, empty, spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
