@@ -185,6 +185,15 @@ def test_similar_links_are_exact(spark, monkeypatch, sample, tile):
     assert kept_of(spark, made) == sorted(set(root.values()))
 
 
+def test_similar_ignores_repeats(spark):
+    line = " ".join(f"line{i}" for i in range(16))
+    one, other = (" ".join(f"{x}{i}" for i in range(200)) for x in "ab")
+    made = [(1, f"{line} " * 20 + one), (2, f"{line} " * 20 + other), (3, f"{line} {line} " + one + " end"), (4, one + " end")]
+    sets = [shingles(t) for _, t in made]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.1 and len(sets[0] & sets[2]) / len(sets[0] | sets[2]) > 0.9
+    assert kept_of(spark, made) == [1, 2]
+
+
 def test_token_files(docs, rows, empty, spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
