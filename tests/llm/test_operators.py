@@ -419,3 +419,16 @@ def test_components_of_a_chain_a_hub_and_repeats(spark):
     links = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(200)] + [(5, 4), (5, 4), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, **{1000 + i: 1000 for i in range(200)}}
+
+
+def test_rows_of_one_id_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET", 50)
+    rows = spark.createDataFrame([("x" if i % 3 else f"y{i}", "a", 0, 8) for i in range(3000)], "doc_id string, source string, tie long, size long")
+    sizes = [r["count"] for r in mixing.bucketed(rows, False, 8).groupBy("source", "class", "bucket").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) <= 150
+    same = spark.createDataFrame([(None, "one two three", "a")] * 500 + [(1, "four", "b")], "doc_id long, text string, source string")
+    taken = mixing.repeated(same)
+    words = {r.source: r.n for r in taken.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    assert abs(words["a"] - 1500 * 1.5) <= 6
+    plan = taken._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, \(.*_nth#\d+( as bigint\))? = _mark_nth#", plan)

@@ -8,7 +8,7 @@ and which of the two gives is drawn so that every expected number of copies stay
 together never change, so a group of documents ends with one fractional document at most, and its sum of words is exact.
 
 A group is a source, a size class (power of two) and one of its buckets; a source or class with many documents has many
-buckets, so no task gets a group of more than about BUCKET rows. The documents left over go up a reduction tree, FAN
+buckets, and rows of one id are numbered and dealt like others, so no task gets a group of more than about BUCKET rows. The documents left over go up a reduction tree, FAN
 buckets at a time, until each source and class has one; a source's last ones (one per class, largest first)
 are rounded so that their sum comes nearest to what is left. All draws are hashes of the documents' ids.
 
@@ -102,6 +102,19 @@ def last(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(part=0.0, copies=copies)
 
 
+def bucketed(rows: DataFrame, numbered: bool, seed: int) -> DataFrame:
+    """The rows with their class and bucket; rows that agree in id, source and size are numbered unless ``tie`` does it."""
+    rows = rows.withColumn("class", F.coalesce(F.floor(F.log2(F.col("size"))), F.lit(-1)).cast("int"))
+    counts = rows.groupBy("source", "class").agg(F.ceil(F.count("*") / F.lit(BUCKET)).cast("long").alias("buckets"))
+    counts = counts.select(F.col("source").alias("of"), F.col("class").alias("in"), "buckets")
+    place = F.col("tie")
+    if not numbered:
+        same = Window.partitionBy("doc_id", "source", "tie", "size").orderBy(F.lit(0))
+        place, rows = F.col("tie") + F.col("nth") - 1, rows.withColumn("nth", F.row_number().over(same))
+    rows = rows.join(counts, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("in")))
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", place.cast("long"), F.lit(seed)), "buckets"))
+
+
 def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: Column | None = None, tie: Column | None = None,
             weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 8) -> DataFrame:
     """One row per document: doc_id, source, tie, size, source_size, target, copies.
@@ -118,14 +131,10 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", siz
     shares = settled(targets(narrow, weights, share, most))
     # One row per source: as many as sources, so an ordinary join that adaptive execution may broadcast.
     rows = narrow.join(shares.select("source", "ratio").withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    rows = rows.withColumn("class", F.coalesce(F.floor(F.log2(F.col("size"))), F.lit(-1)).cast("int"))
-    counts = rows.groupBy("source", "class").agg(F.ceil(F.count("*") / F.lit(BUCKET)).cast("long").alias("buckets"))
-    counts = counts.select(F.col("source").alias("of"), F.col("class").alias("in"), "buckets")
-    rows = rows.join(counts, F.col("source").eqNullSafe(F.col("of")) & (F.col("class") == F.col("in")))
-    most_buckets = counts.agg(F.max("buckets")).first()[0] or 1
+    rows = settled(bucketed(rows, tie is not None, seed))
+    most_buckets = rows.agg(F.max("buckets")).first()[0] or 1
     rows = rows.select(
-        "doc_id", "source", "tie", "size", "ratio", "class",
-        F.pmod(F.xxhash64("doc_id", "tie", F.lit(seed)), "buckets").alias("bucket"),
+        "doc_id", "source", "tie", "size", "ratio", "class", "bucket",
         (F.col("ratio") - F.floor("ratio")).alias("part"), F.floor("ratio").cast("long").alias("copies"),
     )
 
@@ -164,6 +173,6 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     keyed = keyed.withColumn("_nth", F.row_number().over(same))
     marks = mixture(keyed.select("_hash", "_source", "_size", "_nth"), "_hash", "_source", F.col("_size"), F.col("_nth"))
     marks = marks.where("copies > 0").select(F.col("doc_id").alias("_mark"), F.col("tie").alias("_mark_nth"), "copies")
-    # The number is no join key, so the rows' one shuffle serves the window and the join.
-    joined = keyed.join(marks, (F.col("_hash") == F.col("_mark")) & (F.col("_nth") - F.col("_mark_nth") == 0))
+    # The number is a join key: n rows of one hash meet n marks in n pairs.
+    joined = keyed.join(marks, (F.col("_hash") == F.col("_mark")) & (F.col("_nth") == F.col("_mark_nth")))
     return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("_row")[n].alias(n) for n in names])
