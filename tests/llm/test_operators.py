@@ -421,6 +421,17 @@ def test_components_of_a_chain_a_hub_and_repeats(spark):
     assert got == {**{i: 0 for i in range(51)}, **{1000 + i: 1000 for i in range(200)}}
 
 
+@pytest.mark.parametrize("version", [2, 3])
+@pytest.mark.parametrize("either", ["either ", ""])
+def test_gpl_notice(spark, version, either):
+    notice = f"""This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
+    License as published by the Free Software Foundation, {either}version {version} of the License, or (at your option) any later version."""
+    lesser = notice.replace("General", "Lesser General")
+    made = spark.createDataFrame([(1, notice), (2, lesser)], "doc_id long, text string")
+    got = {r.doc_id: {f.label for f in r.found} for r in licenses.scans(made).collect()}
+    assert got == {1: {f"gpl-{version}"}, 2: {"lgpl"}}
+
+
 def test_rows_of_one_id_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 50)
     rows = spark.createDataFrame([("x" if i % 3 else f"y{i}", "a", 0, 8) for i in range(3000)], "doc_id string, source string, tie long, size long")

@@ -34,6 +34,11 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 PASSAGES = (
     ("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
     ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    # The standard notices have other words between the license's name and its version.
+    ("gpl-3", "gnu general public license as published by the free software foundation either version 3 of the license", "gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-3", "gnu general public license as published by the free software foundation version 3 of the license", "gnu general public license as published by the free software foundation version 3 of the license"),
+    ("gpl-2", "gnu general public license as published by the free software foundation either version 2 of the license", "gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-2", "gnu general public license as published by the free software foundation version 2 of the license", "gnu general public license as published by the free software foundation version 2 of the license"),
     ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
     ("agpl-3", "under the terms of the gnu affero general public license version 3", "gnu affero general public license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge to any person obtaining a copy"),
