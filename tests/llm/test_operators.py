@@ -432,6 +432,15 @@ def test_gpl_notice(spark, version, either):
     assert got == {1: {f"gpl-{version}"}, 2: {"lgpl"}}
 
 
+def test_iban_before_capital_words():
+    for iban in ("BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00"):
+        for after in ("", " EUR", " BIC ABCD EUR", ", EUR", " BE68 5390 0754 7034 EUR"):
+            found = [s for s in pii.find(f"account {iban}{after}") if s["kind"] == "iban"]
+            assert [f"account {iban}{after}"[s["start"] : s["end"]] for s in found] == [iban, "BE68 5390 0754 7034"][: 2 if "BE" in after else 1]
+    assert [s["start"] for s in pii.find("account NO12 BE68 5390 0754 7034") if s["kind"] == "iban"] == [13]
+    assert pii.redact("pay BE68 5390 0754 7034 EUR") == "pay [IBAN] EUR"
+
+
 def test_rows_of_one_id_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 50)
     rows = spark.createDataFrame([("x" if i % 3 else f"y{i}", "a", 0, 8) for i in range(3000)], "doc_id string, source string, tie long, size long")

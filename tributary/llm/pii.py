@@ -4,7 +4,8 @@ Kinds and their tests:
 
 * email, ip (parts at most 255), card (14 to 19 digits, Luhn), phone (10 to 15 digits): base kinds. What the test
   passes is a span whatever its score; a match that fails it is dropped without a retry.
-* iban (two letters, two check digits, 11 to 30 letters or digits, blanks between groups of four; mod 97 = 1),
+* iban (two letters, two check digits, 11 to 30 letters or digits, blanks between groups of four; mod 97 = 1;
+  a match that fails is tried again without its last groups, as capital words may follow, then from its next group),
   ssn (ddd-dd-dddd, no part of zeros, area below 900 and not 666), secret (a value of 12 or more characters given to a
   name such as password or token): further kinds, kept when their score reaches KEEP.
 
@@ -86,6 +87,21 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", last)
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost, non-overlapping accounts, each the longest run of groups that passes the checksum."""
+    m = IBAN.search(text)
+    while m:
+        end, at = m.end(), m.start() + 1
+        while end > m.start():
+            code = text[m.start() : end].replace(" ", "")
+            if 15 <= len(code) <= 34 and mod97(code):
+                yield m.start(), end
+                at = end
+                break
+            end = text.rfind(" ", m.start(), end)
+        m = IBAN.search(text, at)
+
+
 def proposals(text: str) -> Iterator[tuple[int, int, int]]:
     """(start, number of the kind, end) of confirmed spans."""
     if "@" in text:
@@ -103,10 +119,7 @@ def proposals(text: str) -> Iterator[tuple[int, int, int]]:
         for m in PHONE.finditer(text):
             if 10 <= sum(map(str.isdigit, m.group())) <= 15:
                 yield m.start(), 3, m.end()
-    for m in IBAN.finditer(text):
-        code = m.group().replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield m.start(), 4, m.end()
+    yield from ((a, 4, b) for a, b in ibans(text))
     if "-" in text:
         for m in SSN.finditer(text):
             area, group, serial = m.groups()
