@@ -452,3 +452,20 @@ def test_rows_of_one_id_are_dealt(spark, monkeypatch):
     assert abs(words["a"] - 1500 * 1.5) <= 6
     plan = taken._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Join Inner, \(.*_nth#\d+( as bigint\))? = _mark_nth#", plan)
+
+
+def test_all_names_of_long_texts(spark, docs, empty):
+    passage = " ".join(f"shared{i * 31 % 97}" for i in range(60))
+    one, other = (" ".join(f"{x}{i * 7919 % 10007}" for i in range(10000)) for x in "ab")
+    texts = {1: f"{one} {passage} end", 2: f"{passage} {other}", 3: other}
+    assert not {*fingerprints.sketches([texts[1]])[0]} & {*fingerprints.sketches([texts[2]])[0]}
+    rows = fingerprints.names_of(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    found = {i: {(r.level, r.name): r.place for r in rows if r.doc_id == i} for i in texts}
+    first, second = texts[1].index(passage), texts[2].index(passage)
+    both = [(found[1][k] - first, found[2][k] - second) for k in found[1].keys() & found[2].keys()]
+    inside = [a for a, b in both if a == b and 0 <= a < len(passage)]
+    assert len(inside) > 20
+    for i in texts:  # the fingerprint is made of these names
+        every = {int(fingerprints.mixed(np.array([n], np.int64).view(np.uint64) + np.uint64(v))[0] >> np.uint64(32)) for v, n in found[i]}
+        assert tuple(sorted(every)[: fingerprints.KEPT]) == fingerprints.sketches([texts[i]])[0]
+    assert fingerprints.names_of(empty).count() == 0 and fingerprints.names_of(docs).where("place < 0 or name is null").count() == 0

@@ -7,7 +7,8 @@ it begins depends on a few symbols to its left and one to its right only, and eq
 except near their ends, wherever they stand. A phrase is named by a hash of its symbols, and the names are the next level's
 symbols. The fingerprint is the KEPT smallest distinct names of levels 2 and 3 (about ten to forty characters); likeness of two
 fingerprints is the share of names that both have among the KEPT smallest of the two together, an estimate of the
-overlap of their sets of names.
+overlap of their sets of names. Of a long text the fingerprint holds few names, so two long texts with a common passage
+mostly share none of them: ``names_of`` gives all names as rows, to be joined.
 
 Null texts count as empty; an empty text has the empty fingerprint, which is like another empty one (1) and unlike any
 other (0). Equal texts have equal fingerprints. Texts of a batch are parsed together in arrays; the order of documents
@@ -37,18 +38,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def runs_named(names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal neighbours of one text as one symbol."""
+def runs_named(names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal neighbours of one text as one symbol: names, texts, and where each begins."""
     begin = np.ones(len(names), bool)
     begin[1:] = (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])
     at = np.flatnonzero(begin)
     if len(at) == len(names):
-        return names, owner
+        return names, owner, at
     length = np.diff(at, append=len(names)).astype(np.uint64)
     names = names[at]
     long = length > 1
     names[long] = mixed(names[long] + _A * length[long])
-    return names, owner[at]
+    return names, owner[at], at
 
 
 def labels(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -62,8 +63,8 @@ def labels(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     return symbols
 
 
-def phrases(names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The next level: names of the phrases, and their texts."""
+def phrases(names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The next level: names of the phrases, their texts, and where each begins."""
     first = np.ones(len(names), bool)
     first[1:] = owner[1:] != owner[:-1]
     small = np.uint32 if names.max() < 2**32 else np.uint64
@@ -72,7 +73,7 @@ def phrases(names: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begin[1:-1] |= (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:]) & ~first[2:]
     at = np.flatnonzero(begin)
     place = (np.arange(len(names)) - np.repeat(at, np.diff(at, append=len(names)))).astype(np.uint64)
-    return mixed(np.add.reduceat(mixed(names + _A * (place + np.uint64(1))), at)), owner[at]
+    return mixed(np.add.reduceat(mixed(names + _A * (place + np.uint64(1))), at)), owner[at], at
 
 
 def sketches(texts: list[str]) -> list[tuple[int, ...]]:
@@ -84,7 +85,7 @@ def sketches(texts: list[str]) -> list[tuple[int, ...]]:
     names = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     found, owners = [], []
     for level in range(1, max(LEVELS) + 1):
-        names, owner = phrases(*runs_named(names, owner))
+        names, owner, _ = phrases(*runs_named(names, owner)[:2])
         if level in LEVELS:
             found.append((mixed(names + np.uint64(level)) >> np.uint64(32)).astype(np.int64))
             owners.append(owner)
@@ -94,6 +95,33 @@ def sketches(texts: list[str]) -> list[tuple[int, ...]]:
     return [tuple(value[a : min(b, a + KEPT)]) for a, b in zip(cuts, cuts[1:])]
 
 
+def names_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for every phrase of levels LEVELS: doc_id, level, name (64 bits), place (its first character); nothing is left out."""
+    source = documents_of(docs, doc_id, text)
+    columns = ["doc_id", "level", "name", "place"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, limit=CHARS):
+            texts = texts_of(batch)
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+            owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+            if not len(owner):
+                continue
+            names = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            for level in range(1, max(LEVELS) + 1):
+                names, owner, at = runs_named(names, owner)
+                place = place[at]
+                names, owner, at = phrases(names, owner)
+                place = place[at]
+                if level in LEVELS:
+                    found = [pa.array(np.full(len(names), level, np.int32)), pa.array(names.view(np.int64)), pa.array(place)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *found], columns)
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(run, f"doc_id {kind}, level int, name long, place long")
+
+
 def likeness(a: tuple[int, ...], b: tuple[int, ...]) -> float:
     if not a or not b:
         return float(len(a) == len(b))
