@@ -15,11 +15,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 from unicodedata import is_normalized
 
 import numpy as np
@@ -31,9 +33,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tributary.llm.common import documents_of, pieces, shared_folder, texts_of
+from tributary.llm.cross_tokenizer import byte_characters
 
 BLOCK, LEVEL, CACHE = 65_536, 3, 1_000_000
-MARKS = (b".", b",")
+#: Fixed value: the pattern for which words are put together from runs of letters and of marks.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A run of lower-case Latin letters and a run of marks but for the apostrophe.
+SIMPLE = re.compile(r"([a-z\u00DF-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
 PIECE = pa.struct([("doc", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("n_tokens", pa.int64()), ("here", pa.int64())])
 ARROW = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("planes", pa.list_(pa.binary())), ("index", pa.list_(PIECE))])
 FILE = """part long, block long, n long, planes array<binary>,
@@ -63,46 +69,65 @@ class Words:
     encodes each new word between white space once, and texts are put together from their words' ids.
 
     Memory is bounded: the first CACHE words stay known, words beyond them are encoded anew in each batch.
-    The library lower-cases, so A to Z are lower-cased beforehand where that leaves the text in normal form C.
+    The library lower-cases, so A to Z are lower-cased beforehand where that leaves the text in normal form C and makes no
+    special token of it. Where its pattern makes a piece of a run of letters and one of a run of marks, a word of lower-case Latin
+    letters and marks goes to the library's model piece by piece, without the normalizer and the pattern, which change nothing there.
     """
 
     def __init__(self, tokenizer: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
-        model = Tokenizer.from_str(tokenizer)
-        self.encode = model.encode_batch_fast
-        self.fold = "Lowercase" in str(json.loads(tokenizer).get("normalizer"))
+        model, parts = Tokenizer.from_str(tokenizer), json.loads(tokenizer)
+        self.encode, self.model = model.encode_batch_fast, model.model
+        self.fold = "Lowercase" in str(parts.get("normalizer"))
+        self.special = [t["content"].lower().encode() for t in parts.get("added_tokens", ())]
+        steps = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        self.by_piece = self.fold and [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"].get("Regex") == PIECES
+        self.spelled = {b: c for c, b in byte_characters().items()}
         self.known: dict[bytes, bytes] = {}
 
     def split(self, text: str) -> list[bytes]:
         raw = text.encode()
         if self.fold:
             low = raw.lower()
-            if text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low.decode()):
+            plain = text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low.decode())
+            if plain and not any(s in low for s in self.special):
                 raw = low
         return raw.split()
 
+    def piece(self, piece: bytes) -> bytes:
+        """Ids of a run of letters or marks, from the library's model."""
+        found = self.known.get(piece)
+        if found is None:
+            text = piece.decode() if piece.isascii() else "".join(map(self.spelled.__getitem__, piece))
+            found = self.known[piece] = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return found
+
+    def learn(self, words: list[bytes]) -> None:
+        """Puts the ids of new words beside the known ones."""
+        rest, known, simple = [], self.known, SIMPLE.fullmatch
+        for word in words:
+            found = self.by_piece and simple(word.decode())
+            if found:
+                stem, marks = found.groups()
+                known[word] = self.piece(stem.encode()) + (self.piece(marks.encode()) if marks else b"")
+            else:
+                rest.append(word)
+        for i in range(0, len(rest), 10_000):
+            some = rest[i : i + 10_000]
+            for word, e in zip(some, self.encode([w.decode() for w in some], add_special_tokens=False)):
+                known[word] = array("I", e.ids).tobytes()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         known = self.known
-        get = known.get
+        get, before = known.get, len(known)
         split = [self.split(t) for t in texts]
         found = [list(map(get, x)) for x in split]
-        new = {w for x, y in zip(split, found) if None in y for w, f in zip(x, y) if f is None}
-        # A mark after a letter is a piece of its own, so such a word is its stem's ids and the mark's.
-        ends = [w for w in new if w[-1:] in MARKS and w[-2:-1].isalpha()]
-        new.difference_update(ends)
-        new.update(w for e in ends for w in (e[:-1], e[-1:]) if w not in known)
-        new = list(new)
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            for word, e in zip(some, self.encode([w.decode() for w in some], add_special_tokens=False)):
-                known[word] = array("I", e.ids).tobytes()
-        for word in ends:
-            known[word] = known[word[:-1]] + known[word[-1:]]
-        new += ends
+        self.learn(list({w for x, y in zip(split, found) if None in y for w, f in zip(x, y) if f is None}))
         out = [b"".join([f or known[w] for w, f in zip(x, y)] if None in y else y) for x, y in zip(split, found)]
-        for word in new[max(0, len(new) - (len(known) - CACHE)) :] if len(known) > CACHE else ():
-            del known[word]
+        if len(known) > CACHE:
+            for word in list(islice(known, max(CACHE, before), None)):
+                del known[word]
         return out
 
 
