@@ -24,11 +24,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -42,7 +43,9 @@ from tokenizers import Tokenizer
 
 from tributary.llm.common import documents_of, pieces, shared_folder, texts_of
 
-CHUNK = 4_000_000
+CHUNK, CACHE = 4_000_000, 500_000
+#: A word with the blanks before it; blanks at the end.
+WORDS = re.compile(" *[^ ]+| +")
 
 
 def byte_characters() -> dict[str, int]:
@@ -83,40 +86,98 @@ class ByteLevel:
 
 
 class Pieces:
-    """B: ids of texts, and each id's bytes."""
+    """B: ids of texts, and each id's bytes.
+
+    No piece of the vocabulary has a blank after another character, so no merge crosses the place before a word's blanks, and a text's
+    ids are its words' ids. The first CACHE words stay known. A vocabulary of another kind, and texts with U+2581 itself, go through the library whole.
+    """
 
     def __init__(self, model: bytes):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        n = self.model.get_piece_size()
-        self.bytes = [
-            bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode()
-            for i, p in enumerate(map(self.model.id_to_piece, range(n)))
-        ]
-
-    def ids(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1) if texts else []
-
-
-def cuts(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """For each group, how many tokens of either side end with it or before."""
+        found = list(map(self.model.id_to_piece, range(self.model.get_piece_size())))
+        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(found)]
+        self.by_word = not any("▁" in p.lstrip("▁") for p in found) and self.model.encode("a  b") == self.model.encode("a") + self.model.encode(" b")
+        #: A single blank at the end, which cannot stand alone: the library encodes an empty text as nothing.
+        self.blank = array("I", self.model.encode("a ")[len(self.model.encode("a")) :]).tobytes()
+        self.known: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in self.model.encode(texts, num_threads=1)] if texts else []
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        known = self.known
+        split = [WORDS.findall(f" {t}") if self.by_word and "▁" not in t else None for t in texts]
+        new = list({w for words in split if words for w in words if w not in known} - {" "})
+        for i in range(0, len(new), 10_000):
+            some = new[i : i + 10_000]
+            known.update(zip(some, self._encoded([w[1:] for w in some])))  # the library puts the first blank before them
+        known[" "] = self.blank
+        rest = iter(self._encoded([t for t, words in zip(texts, split) if words is None]))
+        out = [b"".join(map(known.__getitem__, words)) if words is not None else next(rest) for words in split]
+        for word in new[max(0, len(new) - (len(known) - CACHE)) :] if len(known) > CACHE else ():
+            del known[word]
+        return [np.frombuffer(ids, np.uint32).astype(np.int64) for ids in out]
+
+
+class Strings:
+    """A table of byte strings, joined by their numbers."""
+
+    def __init__(self, strings: list[bytes]):
+        self.flat = np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.array(list(map(len, strings)), np.int32)
+        self.begin = np.cumsum(self.size, dtype=np.int32) - self.size
+
+    def join(self, numbers: np.ndarray) -> np.ndarray:
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        place = np.repeat((self.begin[numbers] - (ends - size)).astype(np.int32), size)
+        place += np.arange(len(place), dtype=np.int32)
+        return self.flat[place]
+
+
+def cuts(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+    """For each group, how many tokens of A, and of B, end with it or before."""
     a, b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    return [(a[end], b[end]) for end in sorted(a.keys() & b.keys())]
-
-
-def links(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of both tokens of each link: in every slice each end of either side closes one overlap."""
-    ends = np.union1d(ends_a, ends_b)
-    return np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-
-
-def groups_text(ids_a: list[int], ids_b: list[int], groups: list[tuple[int, int]]) -> str:
-    """``a1,a2|b1;a3|b2,b3``"""
-    a, b = list(map(str, ids_a)), list(map(str, ids_b))
-    out, i, j = [], 0, 0
-    for x, y in groups:
-        out.append(f"{a[i]}|{b[j]}" if x - i == 1 == y - j else f"{','.join(a[i:x])}|{','.join(b[j:y])}")
-        i, j = x, y
-    return ";".join(out)
+    common = sorted(a.keys() & b.keys())
+    return list(map(a.__getitem__, common)), list(map(b.__getitem__, common))
+
+
+class Slices:
+    """The groups of one text, or of many whose tokens and ends are numbered on, as slices of both lists of tokens."""
+
+    def __init__(self, cut_a: np.ndarray, cut_b: np.ndarray):
+        self.from_a, self.from_b = (np.concatenate([[0], c]).astype(np.int64)[:-1] for c in (cut_a, cut_b))
+        self.to_a, self.to_b = cut_a, cut_b
+        self.n_a, self.n_b = cut_a - self.from_a, cut_b - self.from_b
+        self.n = self.n_a + self.n_b - 1  # links
+
+    def links(self, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of both tokens of each link, slice by slice: where one side has one token, it with each of the
+        other side's; elsewhere each end of either side closes one overlap."""
+        group = np.repeat(np.arange(len(self.n)), self.n)
+        place = np.arange(len(group)) - (np.cumsum(self.n) - self.n)[group]
+        one_a, one_b = self.n_a == 1, self.n_b == 1
+        a = self.from_a[group] + np.where(one_b[group], place, 0)
+        b = self.from_b[group] + np.where(one_a[group], place, 0)
+        mixed = ~(one_a | one_b)
+        ends = np.sort(np.concatenate([ends_a[np.repeat(mixed, self.n_a)], ends_b[np.repeat(mixed, self.n_b)]]))
+        ends = ends[np.diff(ends, prepend=-1) != 0]
+        a[mixed[group]], b[mixed[group]] = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        return a, b
+
+    def spelling(self, ids_a: np.ndarray, ids_b: np.ndarray, n_ids_a: int) -> np.ndarray:
+        """Both lists of ids in the order of ``a1,a2|b1;a3|b2,b3``, as places in ``spellings``."""
+        last_a, last_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+        last_a[self.to_a - 1] = last_b[self.to_b - 1] = 1
+        out = np.empty(len(ids_a) + len(ids_b), np.int64)
+        out[np.arange(len(ids_a)) + np.repeat(self.from_b, self.n_a)] = 2 * ids_a + last_a
+        out[np.arange(len(ids_b)) + np.repeat(self.to_a, self.n_b)] = 2 * (n_ids_a + ids_b) + last_b
+        return out
+
+
+def spellings(n_ids_a: int, n_ids_b: int) -> Strings:
+    """Each id with what follows it, within its side of a group and at its end."""
+    return Strings([b"%d%c" % (i, c) for n, ends in ((n_ids_a, b",|"), (n_ids_b, b",;")) for i in range(n) for c in ends])
 
 
 class Both:
@@ -124,21 +185,23 @@ class Both:
 
     def __init__(self, file: str, model: bytes):
         self.a, self.b = ByteLevel(file), Pieces(model)
-        self.size_a, self.size_b = (list(map(len, t.bytes)) for t in (self.a, self.b))
+        self.size_a, self.bytes_b = np.array(list(map(len, self.a.bytes)), np.int64), Strings(self.b.bytes)
+        self.spellings = spellings(len(self.a.bytes), len(self.b.bytes))
 
-    def align(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
-        """(ids of A, ids of B, ends of A, ends of B) per text; all empty for a text without tokens."""
+    def align(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids of A, ids of B, their ends, cuts of A and B) per text; all empty for a text without tokens."""
         there = [t for t in texts if t]
-        found = zip(there, self.a.ids([f" {t}" for t in there]), self.b.ids(there))
-        bytes_a, bytes_b = self.a.bytes.__getitem__, self.b.bytes.__getitem__
+        found = zip(self.a.ids([f" {t}" for t in there]), self.b.ids(there))
         for text in texts:
             if text:
-                _, a, b = next(found)
-                raw = b" " + text.encode()
-                if b"".join(map(bytes_a, a)) == raw == b"".join(map(bytes_b, b)):
-                    yield a, b, list(accumulate(map(self.size_a.__getitem__, a))), list(accumulate(map(self.size_b.__getitem__, b)))
+                a, b = next(found)
+                # A's bytes are the text's: it has no normalizer, and a token for each byte.
+                if np.array_equal(self.bytes_b.join(b), np.frombuffer(b" " + text.encode(), np.uint8)):
+                    a = np.array(a, np.int64)
+                    ends = np.cumsum(self.size_a[a]), np.cumsum(self.bytes_b.size[b], dtype=np.int64)
+                    yield a, b, *ends, *(np.array(c, np.int64) for c in cuts(*(e.tolist() for e in ends)))
                     continue
-            yield [], [], [], []
+            yield (np.zeros(0, np.int64),) * 6
 
 
 @lru_cache(maxsize=1)
@@ -163,9 +226,10 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", t
         both = loaded(*files.value)
         for batch in pieces(batches):
             rows = []
-            for a, b, ends_a, ends_b in both.align(texts_of(batch)):
-                groups = [{"a_end": x, "b_end": y} for x, y in cuts(ends_a, ends_b)]
-                rows.append((a, b, groups, [{"a": x, "b": y} for x, y in zip(*(k.tolist() for k in links(ends_a, ends_b)))]))
+            for a, b, ends_a, ends_b, *cut in both.align(texts_of(batch)):
+                groups = [{"a_end": x, "b_end": y} for x, y in zip(*(c.tolist() for c in cut))]
+                linked = zip(*(k.tolist() for k in Slices(*cut).links(ends_a, ends_b)))
+                rows.append((a, b, groups, [{"a": x, "b": y} for x, y in linked]))
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "a_ids", "b_ids", "groups", "links"])
 
@@ -187,25 +251,35 @@ def write_chunks(docs: DataFrame, path: str, path_a: str, path_b: str, doc_id: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = loaded(*files.value)
-        chunk, size_b = TaskContext.get().partitionId() << 32, len(both.size_b)
+        chunk, size_b = TaskContext.get().partitionId() << 32, len(both.b.bytes)
         for batch in pieces(batches, limit=CHUNK):
-            figures, codes, times = [], [], []
-            for a, b, ends_a, ends_b in both.align(texts_of(batch)):
-                groups, (i, j) = cuts(ends_a, ends_b), links(ends_a, ends_b)
-                code, k = np.unique(np.array(a, np.int64)[i] * size_b + np.array(b, np.int64)[j], return_counts=True)
-                digest = hashlib.sha256(groups_text(a, b, groups).encode()).hexdigest() if a else ""
-                figures.append((len(a), len(b), len(groups), len(i), digest, len(code)))
-                codes.append(code)
-                times.append(k.astype("<i4"))
-            distinct, place = np.unique(np.concatenate(codes), return_inverse=True)
+            found = list(zip(*both.align(texts_of(batch))))
+            counts = [np.array(list(map(len, x)), np.int64) for x in found]
+            n_a, n_b, n_groups = counts[0], counts[1], counts[4]
+            a, b, ends_a, ends_b, cut_a, cut_b = map(np.concatenate, found)
+            before_a, before_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+            size = np.array([e[-1] if len(e) else 0 for e in found[2]], np.int64)
+            before = np.cumsum(size) - size  # bytes, so that the documents' ends go on
+            slices = Slices(cut_a + np.repeat(before_a, n_groups), cut_b + np.repeat(before_b, n_groups))
+            i, j = slices.links(ends_a + np.repeat(before, n_a), ends_b + np.repeat(before, n_b))
+            n_links = n_a + n_b - n_groups
+            owner = np.repeat(np.arange(len(n_a)), n_links)
+            keys, times = np.unique(owner * (len(both.a.bytes) * size_b) + a[i] * size_b + b[j], return_counts=True)
+            n_pairs = np.bincount(keys // (len(both.a.bytes) * size_b), minlength=len(n_a))
+            distinct, place = np.unique(keys % (len(both.a.bytes) * size_b), return_inverse=True)
+            order = slices.spelling(a, b, len(both.a.bytes))
+            text = memoryview(both.spellings.join(order))
+            ends = np.concatenate([[0], np.cumsum(both.spellings.size[order], dtype=np.int64)])[np.cumsum(n_a + n_b)].tolist()
+            digests = [hashlib.sha256(text[x : y - 1]).hexdigest() if y > x else "" for x, y in zip([0, *ends], ends)]
+            figures = [n_a, n_b, n_groups, n_links, digests, n_pairs]
             names = [*FIGURES, "groups_sha256", "pairs"]
             kinds = [pa.int64()] * 4 + [pa.string(), pa.int32()]
-            columns = [batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*figures), kinds))]
+            columns = [batch.column(0), *(pa.array(c, k) for c, k in zip(figures, kinds))]
             documents = pa.StructArray.from_arrays(columns, ["doc_id", *names])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([chunk], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(documents)], pa.int32()), documents),
-                    pa.array([place.astype("<i4").tobytes()], pa.binary()), pa.array([np.concatenate(times).tobytes()], pa.binary()),
+                    pa.array([place.astype("<i4").tobytes()], pa.binary()), pa.array([times.astype("<i4").tobytes()], pa.binary()),
                     pa.array([distinct], pa.list_(pa.int64())), pa.array([np.bincount(place, minlength=len(distinct))], pa.list_(pa.int64())),
                 ],
                 ["chunk", "docs", "places", "times", "codes", "held"],
