@@ -43,7 +43,7 @@ from tokenizers import Tokenizer
 
 from tributary.llm.common import documents_of, pieces, shared_folder, texts_of
 
-CHUNK, CACHE = 4_000_000, 500_000
+CHUNK, CACHE = 2_000_000, 200_000
 #: A word with the blanks before it; blanks at the end.
 WORDS = re.compile(" *[^ ]+| +")
 
