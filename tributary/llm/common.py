@@ -39,6 +39,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def free(*settled_rows: DataFrame) -> None:
+    """Removes what ``settled`` wrote, once all that is made from it has been written itself."""
+    for df in settled_rows:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(df: DataFrame) -> str:
     """The folder behind ``settled``, as Spark names it; asks for it once so that it exists."""
     context = df.sparkSession.sparkContext

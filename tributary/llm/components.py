@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import settled
+from tributary.llm.common import free, settled
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -32,7 +32,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        links = settled(moved.union(small.select("a", F.col("m").alias("b"))).distinct())
+        made = settled(moved.union(small.select("a", F.col("m").alias("b"))).distinct())
+        free(links)
+        links = made
         before, mark = mark, _mark(links)
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
