@@ -1,9 +1,14 @@
 """A query of every stage against its DuckDB SQL, and the driver contract."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as entry
 from check_oracle import compare, connect
+from tributary.plans.queries import ORACLE, QUERIES
 
 # The whole set at sf0.01 is compared by check_oracle.py; these cover every stage on the smallest tables.
 SHOWN = [
@@ -40,5 +45,25 @@ def test_query_equals_sql(spark, sf, con, name):
 def test_contract(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     trained = {"train_isolation_forest", "score_isolation_forest", "train_risk_model"}
-    assert set(entry.queries()) - set(entry.oracle_sql()) == trained
+    assert set(QUERIES) - set(ORACLE) == trained  # the document queries have tests of their own
+    assert set(QUERIES) <= set(entry.queries()) and ORACLE.items() <= entry.oracle_sql().items()
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_without_the_document_operators():
+    """The entry imports and has this package's queries when the document operators and the corpus pipeline are not there."""
+    code = """
+import sys
+class Hidden:
+    def find_spec(self, name, path=None, target=None):
+        if name == "tributary.llm" or name.startswith("tributary.llm.") or name == "corpus_pipeline":
+            raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+sys.meta_path.insert(0, Hidden())
+import __spark_entry__ as entry
+from tributary.plans.queries import ORACLE, QUERIES
+assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(ORACLE)
+print(len(QUERIES))
+"""
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root)
+    assert done.stdout.strip() == str(len(QUERIES)), done.stderr

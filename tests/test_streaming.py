@@ -1,11 +1,12 @@
 """The streams give what the batch operators give on the same messages."""
 
+import random
 import tempfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tributary.operators.alerts import open_alerts
+from tributary.operators.alerts import alert_lifecycle, open_alerts
 from tributary.operators.dedup import dedup_events
 from tributary.operators.decisions import decide
 from tributary.operators.features import feature_vectors
@@ -14,7 +15,7 @@ from tributary.operators.validate import check_events, quarantine_rows, valid_ev
 from tributary.plans import flow
 from tributary.sources.streams import read_raw_events, write_stage
 from tributary.sources.tables import wire_events
-from tributary.streaming.stages import kpis, run_alerts, run_events, run_kpis, stream_dedup
+from tributary.streaming.stages import alert_states, kpis, run_alert_lifecycle, run_alerts, run_events, run_kpis, stream_dedup
 
 RAW = "value string, arrival_time timestamp"
 
@@ -32,7 +33,7 @@ def _messages(spark, sf):
 
 
 def _keys(df, *cols):
-    return sorted(tuple(r) for r in df.select(*cols).collect())
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
 
 
 def test_stream_equals_batch(spark, sf):
@@ -127,3 +128,30 @@ def test_json_lines_source_and_stage_sink(spark, sf):
     )
     write_stage(streamed, folder, "raw", checkpoint=f"{folder}/cp").awaitTermination()
     assert spark.read.parquet(f"{folder}/raw").count() == raw.count()
+
+
+def test_alert_lifecycle_in_any_order_of_coming(spark):
+    """Alerts and commands dealt over micro-batches at random leave what the batch operator gives; commands come before their alert,
+    alerts without commands and commands without an alert are among them, and a restart goes on from the state."""
+    rng = random.Random(4)
+    alerts = [(f"a{i}", "OPEN") for i in range(12)] + [("quiet", "OPEN")]
+    commands = []
+    for i in range(60):
+        who, at = f"a{rng.randrange(14)}", f"2024-01-10 10:00:{rng.randrange(20):02d}"
+        commands.append((who, rng.choice(["ack", "ack", "resolve"]), rng.choice("xyz"), at, f"c{i}"))
+    kinds = {"alerts": "id string, status string", "commands": "alert_id string, command string, actor string, at string, command_id string"}
+    frames = {"alerts": spark.createDataFrame(alerts, kinds["alerts"])}
+    frames["commands"] = spark.createDataFrame(commands, kinds["commands"]).withColumn("at", F.col("at").cast("timestamp"))
+    shown = ["id", "status", "acknowledged_at", "acknowledged_by", "resolved_at"]
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    dealt = {name: df.withColumn("batch", (F.abs(F.xxhash64(*df.columns)) % 3)).cache() for name, df in frames.items()}
+    for i in range(3):  # one micro-batch each, the query started again every time
+        streams = []
+        for name, df in dealt.items():
+            df.filter(F.col("batch") == i).drop("batch").coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+            streams.append(spark.readStream.schema(frames[name].schema).parquet(f"{folder}/{name}"))
+        run_alert_lifecycle(*streams, f"{folder}/states", f"{folder}/cp").awaitTermination()
+        so_far = {name: df.filter(F.col("batch") <= i).drop("batch") for name, df in dealt.items()}
+        assert _keys(alert_states(spark, f"{folder}/states"), *shown) == _keys(alert_lifecycle(so_far["alerts"], so_far["commands"]), *shown)
+    done = alert_states(spark, f"{folder}/states")
+    assert done.count() == 13 and {r.status for r in done.collect()} == {"ACKNOWLEDGED", "OPEN", "RESOLVED"}

@@ -102,19 +102,19 @@ def alert_outbox(alerts: DataFrame) -> DataFrame:
     )
 
 
-def _command_summary(commands: DataFrame) -> DataFrame:
-    """Per alert: first resolve, last resolve, and the first ack before any resolve.
+def command_summary() -> list[Column]:
+    """Aggregates of one alert's commands: the first ack, the first and the last resolve.
 
-    Commands (``alert_id``, ``command``, ``actor``, ``at``, ``command_id``) shrink before the shuffle:
-    each is a min or a max per alert.
+    Commands (``command``, ``actor``, ``at``, ``command_id``) shrink before the shuffle: each is a min or a max, so
+    their order of coming does not matter and a stream can keep them as state.
     """
     order = F.struct("at", "command_id")
     is_ack, is_resolve = F.col("command") == "ack", F.col("command") == "resolve"
-    return commands.groupBy(F.col("alert_id").alias("id")).agg(
+    return [
         F.min(F.when(is_ack, F.struct("at", "command_id", "actor"))).alias("_ack"),
         F.min(F.when(is_resolve, order)).alias("_first_resolve"),
         F.max(F.when(is_resolve, order)).alias("_last_resolve"),
-    )
+    ]
 
 
 def alert_lifecycle(alerts: DataFrame, commands: DataFrame) -> DataFrame:
@@ -124,8 +124,12 @@ def alert_lifecycle(alerts: DataFrame, commands: DataFrame) -> DataFrame:
     any state, and the last sets the time. The first ack of all counts exactly when it precedes the
     first resolve.
     """
-    summary = _command_summary(commands)
-    joined = alerts.join(summary, "id", "left")
+    summary = commands.groupBy(F.col("alert_id").alias("id")).agg(*command_summary())
+    return after_commands(alerts.join(summary, "id", "left"))
+
+
+def after_commands(joined: DataFrame) -> DataFrame:
+    """Alerts (at least their ``status``) with the columns of ``command_summary``, which become the lifecycle columns."""
     ack_key = F.struct(F.col("_ack.at"), F.col("_ack.command_id"))
     acked = F.col("_ack").isNotNull() & (F.col("_first_resolve").isNull() | (ack_key < F.col("_first_resolve")))
     resolved = F.col("_last_resolve").isNotNull()

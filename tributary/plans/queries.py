@@ -32,7 +32,7 @@ from tributary.schema import PAYLOADS, STAGES
 from tributary.session import shared_folder, use_engine_settings
 from tributary.sources.streams import stage_messages
 from tributary.sources.tables import patients, table, wire_events
-from tributary.streaming.stages import kpis, run_kpis
+from tributary.streaming.stages import alert_states, kpis, run_alert_lifecycle, run_kpis
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1299,3 +1299,29 @@ def stream_kpis_query(spark, sf):
     stream = spark.readStream.schema(accepted.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/events")
     run_kpis(stream, f"{folder}/kpis", f"{folder}/checkpoint").awaitTermination()
     return kpis(spark, f"{folder}/kpis").select(us("window_start").alias("minute_us"), "events", "stale", "patients")
+
+
+@register(
+    "stream_alert_lifecycle",
+    sql(
+        "SELECT alert_id AS id, status, acknowledged_us, acknowledged_by, resolved_us FROM lifecycle",
+        "lifecycle",
+    ),
+)
+def stream_alert_lifecycle_query(spark, sf):
+    """Alerts and commands as two streams of four files each in no order, one file of each per micro-batch."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-lifecycle"
+    raised = flow.alerts(spark, sf)
+    streams = []
+    for name, rows, key in (("alerts", raised.select("id", "status"), "id"), ("commands", flow.commands(raised), "command_id")):
+        rows.repartition(4, key).write.parquet(f"{folder}/{name}")
+        reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+        streams.append(reader.parquet(f"{folder}/{name}"))
+    run_alert_lifecycle(*streams, f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
+    return alert_states(spark, f"{folder}/states").select(
+        "id",
+        "status",
+        us("acknowledged_at").alias("acknowledged_us"),
+        "acknowledged_by",
+        us("resolved_at").alias("resolved_us"),
+    )

@@ -27,9 +27,16 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "tributary"
 
 
 def use_engine_settings(spark: SparkSession) -> None:
-    """Settings the results rely on: times in UTC, and timestamps stored so that filters can skip by them."""
+    """Settings the results rely on: times in UTC, and timestamps stored so that filters can skip by them.
+
+    State of streams lives in RocksDB, on disk, and only its changes go to the checkpoint, so a micro-batch's cost does not
+    grow with the state. A query keeps the store it was started with.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+    store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
-from tributary.operators.alerts import open_alerts
+from tributary.operators.alerts import after_commands, command_summary, open_alerts
 from tributary.operators.decisions import decide
-from tributary.operators.dedup import dedup_events
+from tributary.operators.dedup import dedup_events, keep_first
 from tributary.operators.features import feature_vectors
 from tributary.operators.scoring import Scorers, predict, prediction_rows
 from tributary.operators.validate import check_events, quarantine_rows, valid_events
@@ -180,3 +180,35 @@ def run_alerts(
         _store(alerts.join(stored.select("dedup_key"), "dedup_key", "left_anti").select(*alerts.columns), folder, batch_id, "created_at")
 
     return _started(decisions.drop("batch_id", "day"), batch, checkpoint, trigger)
+
+
+def stream_alert_lifecycle(alerts: DataFrame, commands: DataFrame) -> DataFrame:
+    """Each alert that a micro-batch touches, with its state after all rows so far (update mode).
+
+    Alerts and commands are two streams that meet in one state per alert: its status (null until the alert itself has come), first ack,
+    first and last resolve. All are a min or a max, so a command may come before its alert, and rows in any order over any micro-batches
+    leave the state of the batch operator. Nothing is dropped for being late; the state is narrow and grows with the alerts.
+    """
+    command = {"command": "string", "actor": "string", "at": "timestamp", "command_id": "string"}
+    raised = alerts.select(F.col("id"), "status", *[F.lit(None).cast(t).alias(c) for c, t in command.items()])
+    given = commands.select(F.col("alert_id").alias("id"), F.lit(None).cast("string").alias("status"), *command)
+    return raised.unionByName(given).groupBy("id").agg(F.max("status").alias("status"), *command_summary())
+
+
+def run_alert_lifecycle(
+    alerts: DataFrame, commands: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Stores what each micro-batch changed, a folder per batch; a batch that runs again replaces its own."""
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        changed = rows.withColumn("batch_id", F.lit(batch_id))
+        changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out)
+
+    writer = stream_alert_lifecycle(alerts, commands).writeStream.outputMode("update").foreachBatch(batch)
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def alert_states(spark: SparkSession, out: str) -> DataFrame:
+    """``id`` and the lifecycle columns of every alert that has come, after all micro-batches so far: its last stored row."""
+    last = keep_first(spark.read.parquet(out), ["id"], [F.col("batch_id").desc()])
+    return after_commands(last.filter(F.col("status").isNotNull())).drop("batch_id")
