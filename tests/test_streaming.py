@@ -15,7 +15,7 @@ from tributary.operators.validate import check_events, quarantine_rows, valid_ev
 from tributary.plans import flow
 from tributary.sources.streams import read_raw_events, write_stage
 from tributary.sources.tables import wire_events
-from tributary.streaming.stages import alert_states, kpis, run_alert_lifecycle, run_alerts, run_events, run_kpis, stream_dedup
+from tributary.streaming.stages import alert_states, kpis, run_alert_lifecycle, run_alerts, run_events, run_kpis, run_quarantine, stream_dedup
 
 RAW = "value string, arrival_time timestamp"
 
@@ -43,6 +43,7 @@ def test_stream_equals_batch(spark, sf):
     query = run_events(stream, out, f"{folder}/cp", flow.fixed_scorers(), flow.WIDE, flow.with_fixed_raw)
     query.awaitTermination()
     assert len([p for p in query.recentProgress if p["numInputRows"]]) == 4
+    run_quarantine(stream, out, f"{folder}/cp-quarantine", flow.WIDE).awaitTermination()
 
     checked = check_events(raw)
     events = dedup_events(valid_events(checked))
@@ -51,6 +52,12 @@ def test_stream_equals_batch(spark, sf):
     assert _keys(spark.read.parquet(f"{out}/quarantine"), "id", "failure_code") == _keys(
         quarantine_rows(checked), "id", "failure_code"
     )
+    features = feature_vectors(events, flow.WIDE)
+    vectors, names = spark.read.parquet(f"{out}/vectors"), [c for c in features.columns if c not in ("attributes", "value", "features", "window_sizes")]
+    rounded = [F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in features.select("features.*").dtypes]
+    whole = [*names, F.col("window_sizes")["5m"].alias("window_5m"), F.struct(*[F.col(f"features.{c}") for c in features.schema["features"].dataType.names]).alias("f")]
+    got, want = (_keys(df.select(*whole).select(*names, "window_5m", "f.*").select(*names, "window_5m", *rounded), "*") for df in (vectors, features))
+    assert got == want
     shown = ["event_id", "severity", "action", "decision_score", "confidence"]
     assert _keys(spark.read.parquet(f"{out}/decisions"), *shown) == _keys(made, *shown)
     n = made.select(F.sum(F.size("predictions"))).first()[0]
@@ -77,10 +84,11 @@ def test_stateful_dedup_and_kpis(spark, sf):
     stream = spark.readStream.schema(RAW).parquet(f"{folder}/raw")
     valid = valid_events(check_events(stream))
     target = f"{folder}/dedup"
-    write = stream_dedup(valid).select("event_id", "arrival_time").writeStream.format("parquet").option("path", target)
+    write = stream_dedup(valid).select("event_id", "source_id", "arrival_time", "value").writeStream.format("parquet").option("path", target)
     write.option("checkpointLocation", f"{folder}/cp1").trigger(availableNow=True).start().awaitTermination()
     batch = dedup_events(valid_events(check_events(raw)))
-    assert _keys(spark.read.parquet(target), "event_id") == _keys(batch, "event_id")
+    shown = ["event_id", "source_id", "arrival_time", "value"]  # the first of the copies that come in one micro-batch
+    assert _keys(spark.read.parquet(target), *shown) == _keys(batch, *shown)
 
     late = spark.readStream.schema(RAW).option("maxFilesPerTrigger", 1).parquet(f"{folder}/raw")
     run_kpis(valid_events(check_events(late)), f"{folder}/kpis", f"{folder}/cp2").awaitTermination()
@@ -98,10 +106,10 @@ def _vital(spark, event_id, day, spo2):
 def test_late_arrivals_and_reused_ids_over_batches(spark):
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     days = [("evt_a", "2024-01-20"), ("evt_b", "2024-01-10"), ("evt_a", "2024-01-17"), ("evt_c", "2024-01-20")]
-    for i, (event_id, day) in enumerate(days):  # one message per micro-batch, in this order
-        _vital(spark, event_id, day, 85).write.parquet(f"{folder}/raw{i}")
-        raw = spark.readStream.schema(RAW).parquet(f"{folder}/raw{i}")
-        run_events(raw, f"{folder}/out", f"{folder}/cp{i}", flow.fixed_scorers(), flow.WIDE, flow.with_fixed_raw, first_batch=i).awaitTermination()
+    for event_id, day in days:  # one message per micro-batch, in this order
+        _vital(spark, event_id, day, 85).write.mode("append").parquet(f"{folder}/raw")
+        raw = spark.readStream.schema(RAW).parquet(f"{folder}/raw")
+        run_events(raw, f"{folder}/out", f"{folder}/cp", flow.fixed_scorers(), flow.WIDE, flow.with_fixed_raw).awaitTermination()
         run_alerts(spark, f"{folder}/out", f"{folder}/alerts-cp", flow.WIDE).awaitTermination()
     accepted = spark.read.parquet(f"{folder}/out/accepted")
     assert sorted(r.event_id for r in accepted.collect()) == ["evt_a", "evt_b", "evt_c"]

@@ -24,7 +24,7 @@ from tributary.operators.validate import check_events, quarantine_rows, valid_ev
 from tributary.session import shared_folder
 from tributary.settings import DEFAULTS
 from tributary.sources.tables import wire_events
-from tributary.streaming.stages import run_alerts, run_events
+from tributary.streaming.stages import run_alerts, run_events, run_quarantine
 
 # The tables hold one event per entity and hours: with a window of three days it holds several events.
 WIDE = replace(DEFAULTS, window_ms=259_200_000)
@@ -172,8 +172,8 @@ def commands(alert_table: DataFrame) -> DataFrame:
 def stream_tables(spark: SparkSession, sf_dir: str) -> str:
     """Folder with the tables the streams leave after all messages, run once per session.
 
-    The messages are put into three folders by the date in their timestamp, one micro-batch each, so
-    copies and history reach over micro-batches.
+    The messages come in three lots by the date in their timestamp, one micro-batch each, and the queries are started
+    again for each from their checkpoints, so copies and history reach over micro-batches and restarts.
     """
     key = (spark.sparkContext.applicationId, source_state(spark, sf_dir), "streams")
     if key not in _WRITTEN:
@@ -181,16 +181,11 @@ def stream_tables(spark: SparkSession, sf_dir: str) -> str:
         day = F.get_json_object("value", "$.timestamp")
         part = F.when(day < "2024-01-11", 0).when(day < "2024-01-21", 1).otherwise(2)
         messages = wire_events(spark, sf_dir).withColumn("part", part)
-        messages.write.partitionBy("part").parquet(f"{folder}/messages")
         for i in range(3):
-            raw = (
-                spark.readStream.schema("value string, arrival_time timestamp")
-                .parquet(f"{folder}/messages/part={i}")
-            )
-            # Each part is a source of its own, so it has its own checkpoint; the batch ids go on.
-            run_events(
-                raw, folder, f"{folder}/checkpoint-{i}", fixed_scorers(), WIDE, with_fixed_raw, first_batch=i
-            ).awaitTermination()
+            messages.filter(F.col("part") == i).drop("part").write.mode("append").parquet(f"{folder}/messages")
+            raw = spark.readStream.schema("value string, arrival_time timestamp").parquet(f"{folder}/messages")
+            run_quarantine(raw, folder, f"{folder}/checkpoint-quarantine", WIDE).awaitTermination()
+            run_events(raw, folder, f"{folder}/checkpoint", fixed_scorers(), WIDE, with_fixed_raw).awaitTermination()
         run_alerts(spark, folder, f"{folder}/checkpoint-alerts", WIDE).awaitTermination()
         _WRITTEN[key] = folder
     return _WRITTEN[key]

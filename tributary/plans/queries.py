@@ -399,7 +399,11 @@ ALL_NEAR = VITALS_NEAR + ["missing_ratio", "occupancy_ratio", "occupancy_mean"]
     ),
 )
 def feature_vector_query(spark, sf):
-    return feature_vectors(flow.accepted(spark, sf), flow.WIDE).select(
+    return _vector_columns(feature_vectors(flow.accepted(spark, sf), flow.WIDE))
+
+
+def _vector_columns(vectors: DataFrame) -> DataFrame:
+    return vectors.select(
         "event_id",
         "event_type",
         "patient_id",
@@ -1251,14 +1255,8 @@ register("stream_dedup", sql("SELECT event_id, source_id, arrival_us FROM accept
         "event_id", "source_id", us("arrival_time").alias("arrival_us")
     )
 )
-register(
-    "stream_features",
-    sql("SELECT event_id, array_to_string(reasons, ',') AS reasons FROM decided", "decided"),
-)(
-    # The SpO2 reason carries the lowest value of the event's window.
-    lambda spark, sf: _streamed(spark, sf, "decisions").select(
-        "event_id", joined("explanation.rule_reasons").alias("reasons")
-    )
+register("stream_features", ORACLE["feature_vector"])(
+    lambda spark, sf: _vector_columns(_streamed(spark, sf, "vectors"))
 )
 register("stream_score_decide", sql(f"SELECT {_DECISION} FROM decided", "decided"))(
     lambda spark, sf: _decision_columns(_streamed(spark, sf, "decisions"))

@@ -1,17 +1,19 @@
 """The stages on streams.
 
-``run_events`` takes raw messages to accepted events, quarantine, predictions and decisions, with the
-batch operators inside ``foreachBatch``. Tables are laid out by day and batch; a micro-batch that runs again
-replaces its own rows, so a restart repeats nothing. Looking back for history and alerts reads only the days it
-needs; looking for earlier copies reads the ids of all stored events, since an id may come again on any day. Rows are
-never dropped for being late, only flagged stale or refused by validation.
+``run_events`` takes raw messages to accepted events, feature vectors, predictions and decisions: earlier copies are known from keyed state,
+the other batch operators run inside ``foreachBatch``. ``run_quarantine`` stores what validation refuses. Tables are laid out by day and
+batch; a micro-batch that runs again replaces its own rows, so a restart repeats nothing. Looking back for history and alerts reads only
+the days it needs. Rows are never dropped for being late, only flagged stale or refused by validation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from pyspark.sql.types import DateType, IntegerType, StructField, StructType
 
 from tributary.operators.alerts import after_commands, command_summary, open_alerts
 from tributary.operators.decisions import decide
-from tributary.operators.dedup import dedup_events, keep_first
+from tributary.operators.dedup import keep_first
 from tributary.operators.features import feature_vectors
 from tributary.operators.scoring import Scorers, predict, prediction_rows
 from tributary.operators.validate import check_events, quarantine_rows, valid_events
@@ -33,8 +35,24 @@ def stream_validate(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 def stream_dedup(events: DataFrame) -> DataFrame:
-    """One row per event id for ever, from state: an id is known however late its next copy arrives."""
-    return events.dropDuplicates(["event_id"])
+    """One row per event id for ever: the first arrival (ties by source id) of the micro-batch that first holds the id.
+
+    A micro-batch's copies meet by id, where the first is picked out of a partition's share of the batch; what is left is looked up in
+    and added to the state, one short key per id. The state has no end of life, since an id may come again on any day; it lies in RocksDB and is
+    read by key, so a batch costs the same however long the history. Rows without an id are one id.
+    """
+    order = ["event_id", "arrival_time", "source_id", "value"]
+
+    def first_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # this partition's rows of this micro-batch
+        if held:
+            rows = pa.Table.from_batches(held)
+            rows = rows.take(pc.sort_indices(rows.select(order), sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
+            ids = rows["event_id"].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            yield from rows.filter(pa.array(np.diff(ids, prepend=-1) != 0)).to_batches(max_chunksize=10_000)
+
+    dealt = events.repartition("event_id")
+    return dealt.mapInArrow(first_copies, events.schema).dropDuplicates(["event_id"])
 
 
 def minute_rows(events: DataFrame, step: str | None = None) -> DataFrame:
@@ -98,11 +116,6 @@ def _days(stored: DataFrame, first_ms: int, last_ms: int) -> DataFrame:
     return stored.filter(F.col("day").between(F.lit(first), F.lit(last)))
 
 
-def new_events(valid: DataFrame, stored: DataFrame) -> DataFrame:
-    """First copies whose id no earlier micro-batch stored, on whatever day. Of ``stored`` only the id is read."""
-    return dedup_events(valid).join(stored.select("event_id"), "event_id", "left_anti")
-
-
 def new_vectors(new: DataFrame, stored: DataFrame, first_ms: int, last_ms: int, settings: Settings) -> DataFrame:
     """Feature vectors of new events, with the stored history of their patients inside the window."""
     patients = new.select("patient_id").filter(F.col("patient_id") != "").distinct()
@@ -115,6 +128,17 @@ def new_vectors(new: DataFrame, stored: DataFrame, first_ms: int, last_ms: int,
     return feature_vectors(marked, settings).filter("_new").drop("_new")
 
 
+def run_quarantine(
+    raw: DataFrame, out: str, checkpoint: str, settings: Settings = DEFAULTS, trigger: dict | None = None
+) -> StreamingQuery:
+    """Raw messages to the table quarantine under ``out``; no state."""
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        _store(rows, f"{out}/quarantine", batch_id, "created_at")
+
+    return _started(quarantine_rows(stream_validate(raw, settings)), batch, checkpoint, trigger)
+
+
 def run_events(
     raw: DataFrame,
     out: str,
@@ -122,42 +146,45 @@ def run_events(
     scorers: Scorers,
     settings: Settings = DEFAULTS,
     enrich: Callable[[DataFrame], DataFrame] | None = None,
-    first_batch: int = 0,
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Raw messages to the tables accepted, quarantine, predictions and decisions under ``out``.
+    """Raw messages to the tables accepted, vectors, predictions and decisions under ``out``.
 
-    ``enrich`` adds columns the scorers need (the forests' decision function). ``first_batch`` is the
-    number of micro-batches ``out`` already holds from an earlier query with another checkpoint.
+    ``enrich`` adds columns the scorers need (the forests' decision function). The ids seen so far are the state in
+    ``checkpoint``, which belongs to ``out``.
     """
+    events = stream_dedup(valid_events(stream_validate(raw, settings)))
 
-    def batch(rows: DataFrame, query_batch: int) -> None:
-        spark, batch_id, accepted = rows.sparkSession, query_batch + first_batch, f"{out}/accepted"
-        checked = check_events(rows, settings).persist()
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        spark, accepted = rows.sparkSession, f"{out}/accepted"
+        rows = rows.persist()  # the state is read and written once
         try:
-            _store(quarantine_rows(checked), f"{out}/quarantine", batch_id, "created_at")
-            valid = valid_events(checked)
             at_ms, came_ms = F.unix_millis("event_time"), F.unix_millis("arrival_time")
-            first_ms, last_ms, came_first, came_last = valid.agg(
+            first_ms, last_ms, came_first, came_last = rows.agg(
                 F.min(at_ms), F.max(at_ms), F.min(came_ms), F.max(came_ms)
             ).first()
             if first_ms is None:
                 return
-            stored = _stored(spark, accepted, valid.schema).filter(F.col("batch_id") < batch_id)
-            _store(new_events(valid, stored), accepted, batch_id, "event_time")
+            _store(rows, accepted, batch_id, "event_time")
         finally:
-            checked.unpersist()
-        written = _days(_stored(spark, accepted, valid.schema), first_ms, last_ms)
-        new = written.filter(F.col("batch_id") == batch_id).select(*valid.columns)
-        vectors = new_vectors(new, _days(stored, first_ms - settings.window_ms, last_ms), first_ms, last_ms, settings)
-        scored = predict(vectors if enrich is None else enrich(vectors), scorers)
-        made = decide(scored)
+            rows.unpersist()
+
+        def mine(table: str, schema: StructType, first: int, last: int) -> DataFrame:
+            written = _days(_stored(spark, f"{out}/{table}", schema), first, last)
+            return written.filter(F.col("batch_id") == batch_id).select(*schema.names)
+
+        new = mine("accepted", events.schema, first_ms, last_ms)
+        stored = _stored(spark, accepted, events.schema).filter(F.col("batch_id") < batch_id)
+        stored = _days(stored, first_ms - settings.window_ms, last_ms)
+        vectors = new_vectors(new, stored, first_ms, last_ms, settings).drop("attributes", "value")
+        _store(vectors, f"{out}/vectors", batch_id, "event_time")
+        vectors = mine("vectors", vectors.schema, first_ms, last_ms)
+        made = decide(predict(vectors if enrich is None else enrich(vectors), scorers))
         _store(made, f"{out}/decisions", batch_id, "created_at")
-        decided = _days(_stored(spark, f"{out}/decisions", made.schema), came_first, came_last)
-        mine = decided.filter(F.col("batch_id") == batch_id)
-        _store(prediction_rows(mine), f"{out}/predictions", batch_id, "created_at")
+        decided = mine("decisions", made.schema, came_first, came_last)
+        _store(prediction_rows(decided), f"{out}/predictions", batch_id, "created_at")
 
-    return _started(raw, batch, checkpoint, trigger)
+    return _started(events, batch, checkpoint, trigger)
 
 
 def run_alerts(
