@@ -12,7 +12,7 @@ The split by the public pattern is computed on arrays of character classes (``Sp
 run as a regular expression.
 
 Null texts count as empty and give no ids; empty texts too. Repeated rows give repeated rows. Every row is
-encoded in the task that read it; nothing is shuffled, and a worker holds one batch of about two million bytes.
+encoded in the task that read it; nothing is shuffled, and a worker holds one batch of about a million bytes.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from tributary.llm.common import documents_of, pieces, texts_of
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
+#: Bytes of text that a worker splits at once.
+BATCH = 1_000_000
 
 
 class PairTable:
@@ -275,7 +277,7 @@ def encode(docs: DataFrame, path: str, pattern: str, decode: bool = False, doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = loaded(lines.value)
         splitter = Splitter(classes.value) if classes.value else Matches(pattern)
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=BATCH):
             parts, each = splitter.split(texts_of(batch))
             index: dict[bytes, int] = {}
             number = index.setdefault
