@@ -18,6 +18,13 @@ def counter_by_label(df: DataFrame, labels: list[str]) -> DataFrame:
     return df.groupBy(*labels).agg(F.count("*").alias("count"))
 
 
+def call_counter(made: DataFrame) -> DataFrame:
+    """Calls per model and outcome, a replaced primary's own call included, and how many of them were fallback calls."""
+    return made.groupBy("model_name", "outcome").agg(
+        F.count("*").alias("calls"), F.count("fallback_for").alias("as_fallback")
+    )
+
+
 def _bucket_counts(value: Column, buckets: tuple[float, ...]) -> list[Column]:
     """Cumulative counts per upper bound, then all rows: one aggregate each, in one pass."""
     return [F.count_if(value <= F.lit(b)).alias(f"_le{i}") for i, b in enumerate(buckets)] + [

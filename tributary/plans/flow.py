@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.operators.alerts import open_alerts
+from tributary.operators.breaker import call_outcomes, logged_calls
 from tributary.operators.decisions import decide
 from tributary.operators.dedup import dedup_events
 from tributary.operators.features import feature_vectors
-from tributary.operators.registry import route_models
+from tributary.operators.registry import REGISTRY, route_models
 from tributary.operators.scoring import RiskModel, attach_call_log, forest_column, predict, prediction_rows, scorers
 from tributary.operators.validate import check_events, quarantine_rows, valid_events
 from tributary.session import shared_folder
@@ -124,11 +125,60 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def replayed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each call would end when the accepted events are replayed at one event number a second, with outages.
+
+    Holds the routed calls and, where a model has a fallback, the call that would be made in its place.
+    """
+    n = event_number(F.col("event_id"))
+    step = F.col("position")
+    events = accepted(spark, sf_dir).select("event_id", "event_type")
+    routed = events.select(
+        "event_id",
+        F.col("event_type"),
+        F.timestamp_seconds(F.unix_seconds(F.lit("2024-02-01").cast("timestamp")) + n).alias("called_at"),
+        F.inline(route_models(F.col("event_type"))),
+    )
+    outage = (F.floor((n + step * 37) / 60) % 5 == 0) | (n % 53 == 0)
+    slow = F.when((n + step) % 29 == 0, F.lit(200.0)).otherwise(F.lit(0.0))
+    calls = routed.withColumns(
+        {
+            "latency_ms": ((n * 7 + step * 31) % 40).cast("double") + slow,
+            "failed": outage,
+            "fallback_for": F.lit(None).cast("string"),
+        }
+    )
+    fallback = REGISTRY.lookup(F.col("model_name"), "fallback")
+    instead = calls.filter(fallback.isNotNull()).withColumns(
+        {
+            "fallback_for": F.col("model_name"),
+            "model_name": fallback,
+            "latency_ms": (n % 70).cast("double"),
+            "failed": F.floor(n / 20) % 3 == 0,
+        }
+    )
+    columns = ["event_id", "model_name", "called_at", "latency_ms", "failed", "fallback_for"]
+    return calls.select(*columns).unionByName(instead.select(*columns))
+
+
+def replayed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replay's calls under breakers with the default threshold and reset."""
+    return stage_table(
+        spark, sf_dir, "replayed", lambda: call_outcomes(replayed_log(spark, sf_dir)), "called_at"
+    )
+
+
 def scored_with_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     called = attach_call_log(vectors(spark, sf_dir), call_log(spark, sf_dir))
     return predict(with_fixed_raw(called), fixed_scorers())
 
 
+def replayed_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction rows of the replay: refused calls and failing fallbacks decide which models answer."""
+    called = attach_call_log(vectors(spark, sf_dir), logged_calls(replayed_calls(spark, sf_dir)))
+    return prediction_rows(predict(with_fixed_raw(called), fixed_scorers()))
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prediction table of the run whose calls are in the call log."""
     return stage_table(

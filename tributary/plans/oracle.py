@@ -356,3 +356,37 @@ def sql(select: str, *steps: str) -> str:
     if not ordered:
         return select
     return "WITH " + ",\n".join(f"{s} AS ({STEPS[s].strip()})" for s in ordered) + "\n" + select
+
+
+def breaker_steps(calls: str, prefix: str, threshold: int = 5, reset_us: int = 15_000_000) -> str:
+    """Steps ``{prefix}met``: every call of the step ``calls`` with its breaker, by jumping from one opening to the next.
+
+    After an opening the next call let through is the first at or after the reset. If it fails, it is the next opening;
+    else the next opening is the first call that ends a run of ``threshold`` failures which begins after it.
+    """
+    return f"""{prefix}calls AS (
+  SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY called_us, event_id) AS i FROM {calls}),
+{prefix}ends AS (
+  SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY model_name ORDER BY i
+      ROWS BETWEEN {threshold - 1} PRECEDING AND CURRENT ROW) = {threshold} AS ends_run,
+    coalesce(max(CASE WHEN ok THEN i END) OVER (PARTITION BY model_name ORDER BY i
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS last_ok,
+    min(i) OVER (PARTITION BY model_name ORDER BY called_us
+      RANGE BETWEEN {reset_us} FOLLOWING AND UNBOUNDED FOLLOWING) AS trial
+  FROM {prefix}calls),
+{prefix}after AS (
+  SELECT *, min(CASE WHEN ends_run THEN i END) OVER (PARTITION BY model_name ORDER BY i
+      ROWS BETWEEN {threshold} FOLLOWING AND UNBOUNDED FOLLOWING) AS next_full FROM {prefix}ends),
+{prefix}jumps AS (
+  SELECT a.model_name, a.i, a.trial, CASE WHEN t.ok THEN t.next_full ELSE t.i END AS next_open
+  FROM {prefix}after a LEFT JOIN {prefix}after t ON t.model_name = a.model_name AND t.i = a.trial WHERE NOT a.ok),
+{prefix}opens AS (
+  SELECT j.* FROM {prefix}jumps j JOIN (SELECT model_name, min(i) AS i FROM {prefix}after WHERE ends_run GROUP BY 1) f
+    ON f.model_name = j.model_name AND f.i = j.i
+  UNION ALL
+  SELECT j.* FROM {prefix}opens o JOIN {prefix}jumps j ON j.model_name = o.model_name AND j.i = o.next_open),
+{prefix}met AS (
+  SELECT c.* EXCLUDE (ends_run, last_ok, trial, next_full),
+    CASE WHEN o.i IS NULL OR c.i > o.trial THEN 'CLOSED' WHEN c.i = o.trial THEN 'HALF_OPEN' ELSE 'OPEN' END AS breaker,
+    CASE WHEN o.i IS NULL OR c.i > o.trial THEN c.i - 1 - c.last_ok ELSE {threshold} END::INT AS breaker_failures
+  FROM {prefix}after c ASOF LEFT JOIN {prefix}opens o ON o.model_name = c.model_name AND o.i < c.i)"""

@@ -27,7 +27,7 @@ from tributary.operators.history import with_history
 from tributary.operators.registry import model_hash, route_models
 from tributary.operators.validate import canonicalize, parse_wire, quarantine_rows, typed_payload
 from tributary.plans import flow
-from tributary.plans.oracle import near, round_even, sql
+from tributary.plans.oracle import breaker_steps, near, round_even, sql
 from tributary.schema import PAYLOADS, STAGES
 from tributary.session import shared_folder, use_engine_settings
 from tributary.sources.streams import stage_messages
@@ -640,6 +640,78 @@ register("breaker_state", _extended("SELECT * FROM breakers", _BREAKER_SQL, "pre
 )
 
 
+# The replay at one event number a second: routed calls, the primaries' breakers, fallback calls, the fallback's breaker.
+_REPLAY_SQL = f"""replay AS (
+  SELECT event_id, n, position, model_name, 1706745600000000 + n * 1000000 AS called_us, NULL::VARCHAR AS fallback_for,
+    ((n * 7 + position * 31) % 40 + CASE WHEN (n + position) % 29 = 0 THEN 200 ELSE 0 END)::DOUBLE AS latency_ms,
+    ((n + position * 37) // 60) % 5 = 0 OR n % 53 = 0 AS failed FROM routed),
+timed AS (
+  SELECT *, CASE WHEN latency_ms > CASE WHEN model_name LIKE 'anomaly%' THEN 150 WHEN model_name = 'risk_predictor' THEN 200
+      WHEN model_name = 'capacity_forecaster' THEN 80 WHEN model_name = 'imaging_prioritizer' THEN 60 ELSE 40 END
+    THEN 'timeout' WHEN failed THEN 'error' ELSE 'success' END AS itself FROM replay),
+first_calls AS (SELECT *, itself = 'success' AS ok FROM timed),
+{breaker_steps("first_calls", "p_")},
+second_calls AS (
+  SELECT *, itself = 'success' AS ok FROM (
+    SELECT event_id, n, position, 'threshold_detector' AS model_name, called_us, model_name AS fallback_for,
+      (n % 70)::DOUBLE AS latency_ms, (n // 20) % 3 = 0 AS failed,
+      CASE WHEN n % 70 > 50 THEN 'timeout' WHEN (n // 20) % 3 = 0 THEN 'error' ELSE 'success' END AS itself
+    FROM p_met WHERE model_name = 'anomaly_detector' AND (NOT ok OR breaker = 'OPEN'))),
+{breaker_steps("second_calls", "f_")},
+made AS (
+  SELECT event_id, position, model_name, fallback_for, called_us, breaker, breaker_failures,
+    CASE WHEN breaker = 'OPEN' THEN 'circuit_open' ELSE itself END AS outcome FROM p_met
+  UNION ALL SELECT event_id, position, model_name, fallback_for, called_us, breaker, breaker_failures,
+    CASE WHEN breaker = 'OPEN' THEN 'circuit_open' ELSE itself END FROM f_met)"""
+
+
+def _replay_sql(select: str) -> str:
+    return "WITH RECURSIVE " + _extended(select, _REPLAY_SQL, "routed").removeprefix("WITH ")
+
+
+@register(
+    "breaker_calls",
+    _replay_sql("SELECT event_id, model_name, fallback_for, called_us, breaker, breaker_failures, outcome FROM made"),
+)
+def breaker_calls_query(spark, sf):
+    """Every call of the replay under the default breaker: threshold 5, reset 15 s."""
+    return flow.replayed_calls(spark, sf).select(
+        "event_id",
+        "model_name",
+        "fallback_for",
+        us("called_at").alias("called_us"),
+        "breaker",
+        "breaker_failures",
+        "outcome",
+    )
+
+
+@register(
+    "breaker_predictions",
+    _replay_sql(
+        """SELECT p.event_id, p.position::INT AS position, coalesce(f.model_name, p.model_name) AS model_name,
+  CASE coalesce(f.outcome, p.outcome) WHEN 'success' THEN CASE WHEN f.model_name IS NOT NULL THEN 'fallback'
+      WHEN p.model_name LIKE '%_shadow' THEN 'shadow' ELSE 'success' END ELSE coalesce(f.outcome, p.outcome) END AS status,
+  f.fallback_for, CASE WHEN f.model_name IS NOT NULL THEN p.outcome END AS primary_status
+FROM made p LEFT JOIN made f ON f.event_id = p.event_id AND f.fallback_for = p.model_name WHERE p.fallback_for IS NULL"""
+    ),
+)
+def breaker_predictions_query(spark, sf):
+    """Prediction rows behind those calls: failing and refused primaries, failing and refused fallbacks."""
+    return flow.replayed_predictions(spark, sf).select(
+        "event_id", "position", "model_name", "status", "fallback_for", "primary_status"
+    )
+
+
+@register(
+    "counter_calls",
+    _replay_sql("SELECT model_name, outcome, count(*) AS calls, count(fallback_for) AS as_fallback FROM made GROUP BY 1, 2"),
+)
+def counter_calls_query(spark, sf):
+    """Attempts, timeouts, errors and refusals per model, with those of primaries a fallback replaced."""
+    return M.call_counter(flow.replayed_calls(spark, sf))
+
+
 @register(
     "collect_predictions",
     sql(
