@@ -9,6 +9,7 @@ import pytest
 from tributary.operators.features import feature_vectors, latest_features
 from tributary.operators.history import slice_width
 from tributary.settings import Settings
+from tributary.streaming.stages import new_vectors
 from pyspark.sql import functions as F
 
 VITAL = "struct<heart_rate:double,spo2:double,respiratory_rate:double,temperature_c:double,systolic_bp:double,diastolic_bp:double>"
@@ -48,7 +49,8 @@ def sample():
     return rows
 
 
-def brute(rows, window_ms):
+def brute(rows, window_ms, as_of_arrival=False):
+    came = lambda row: (row[4], row[0])
     ms = lambda row: round((row[3] - START).total_seconds() * 1000)
     out = {}
     for row in rows:
@@ -56,6 +58,7 @@ def brute(rows, window_ms):
             r
             for r in rows
             if r[1] == row[1] and r[2] == row[2] and row[2] and ms(row) - window_ms <= ms(r) <= ms(row)
+            and (not as_of_arrival or came(r) <= came(row))
         ] or [row]
         near.sort(key=lambda r: (ms(r), r[0]))
         if row[1] == "patient_vital":
@@ -90,9 +93,11 @@ def brute(rows, window_ms):
 def test_window_features_equal_brute_force(spark, window_ms, slice_ms):
     rows = sample()
     settings = Settings(window_ms=window_ms, slice_ms=slice_ms)
-    got = feature_vectors(spark.createDataFrame(rows, SCHEMA), settings).collect()
-    expected = brute(rows, window_ms)
-    assert len(got) == len(rows)
+    assert_equal(feature_vectors(spark.createDataFrame(rows, SCHEMA), settings).collect(), brute(rows, window_ms))
+
+
+def assert_equal(got, expected):
+    assert len(got) == len(expected)
     for row in got:
         for name, value in expected[row["event_id"]].items():
             found = row["features"][name]
@@ -101,6 +106,44 @@ def test_window_features_equal_brute_force(spark, window_ms, slice_ms):
                 assert found == pytest.approx(value, abs=1e-7), (row["event_id"], name)
 
 
+def out_of_order(seed, within_ms):
+    """The sample with arrivals in any order within some time, and many equal ones."""
+    rng = random.Random(seed)
+    late = lambda: timedelta(milliseconds=rng.choice([0, 60_000, rng.randrange(0, within_ms)]))
+    return [r[:4] + (r[3] + late(),) + r[5:] for r in sample()]
+
+
+@pytest.mark.parametrize("window_ms,within_ms", [(300_000, 900_000), (3_000_000, 3_000_000), (1_000, 5_000), (20_000, 1)])
+def test_history_as_of_arrival_equals_brute_force(spark, window_ms, within_ms):
+    rows = out_of_order(window_ms, within_ms)
+    settings = Settings(window_ms=window_ms, as_of_arrival=True)
+    got = feature_vectors(spark.createDataFrame(rows[::-1], SCHEMA), settings).collect()
+    assert_equal(got, brute(rows, window_ms, as_of_arrival=True))
+
+
+def test_history_as_of_arrival_of_odd_rows(spark):
+    """All events at one instant; arrivals that are null come first; no events give none."""
+    settings = Settings(as_of_arrival=True)
+    rows = [vital(i, "p", 0, 60.0 + i, 97.0, 15.0) for i in range(37)]
+    rows[20] = rows[20][:4] + (None,) + rows[20][5:]
+    got = {r.event_id: r.features["observation_count"] for r in feature_vectors(spark.createDataFrame(rows, SCHEMA), settings).collect()}
+    assert got == {f"e{i:05}": 1 if i == 20 else i + 2 if i < 20 else i + 1 for i in range(37)}
+    assert feature_vectors(spark.createDataFrame([], SCHEMA), settings).count() == 0
+
+
+def test_stream_history_is_as_of_arrival(spark):
+    """Lots in order of arrival but not of time: each lot against what came before equals all at once."""
+    rows = sorted(out_of_order(3, 900_000), key=lambda r: (r[4], r[0]))
+    settings = Settings(as_of_arrival=True)
+    ms = lambda r: round((r[3] - START).total_seconds() * 1000) + round(START.timestamp() * 1000)
+    got = []
+    for start in range(0, len(rows), 250):
+        lot = rows[start : start + 250]
+        new, stored = (spark.createDataFrame(part, SCHEMA) for part in (lot, rows[:start]))
+        got += new_vectors(new, stored, min(map(ms, lot)), max(map(ms, lot)), settings).collect()
+    assert_equal(got, brute(rows, settings.window_ms, as_of_arrival=True))
+
+
 def test_slices_divide_the_window():
     for window, wanted in [(300_000, None), (300_000, 7_000), (259_200_000, None), (1_000, 300)]:
         width = slice_width(window, wanted)

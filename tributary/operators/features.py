@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions.columns import built_once, seconds_between
-from tributary.operators.history import hr_mean, hr_slope, hr_variance, with_history
+from tributary.operators.history import hr_mean, hr_slope, hr_variance, with_history, with_history_as_of_arrival
 from tributary.settings import DEFAULTS, Settings
 
 # Codes and defaults of the imaging features, and the fewest vitals of a full window.
@@ -124,7 +124,10 @@ def _wide_features() -> Column:
 
 def feature_vectors(events: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Events with ``features``, ``window_sizes``, ``stale`` and ``insufficient_observations``."""
-    with_window = with_history(events, settings.window_ms, settings.slice_ms)
+    if settings.as_of_arrival:
+        with_window = with_history_as_of_arrival(events, settings.window_ms)
+    else:
+        with_window = with_history(events, settings.window_ms, settings.slice_ms)
     late_s = seconds_between(F.col("arrival_time"), F.col("event_time"))
     return with_window.withColumns(
         {

@@ -163,6 +163,80 @@ def with_history(
     return ranged.select(*columns, history.alias("history"))
 
 
+def with_history_as_of_arrival(events: DataFrame, window_ms: int, measures: list[Measure] | None = None) -> DataFrame:
+    """Like ``with_history``, but a window holds only what had arrived when its event did.
+
+    An event at time t sees the events of its patient and type in [t - w, t] that come no later in the order of
+    (arrival, event id), itself included, as a service does that looks into its store while events come in any order
+    of time. Events without an arrival come first. Expects one row per event id.
+
+    Both conditions together are a dominance sum, which no window frame expresses. Slices are as wide as the window,
+    so a window is the head of its own slice and the tail of the one before. Inside a slice, rows are
+    numbered by arrival, and the numbers are halved again and again: at each level, a row in the left
+    half of a node adds to the rows in the right half, where arrival is settled and a running frame over time is left. Two rows meet
+    at exactly one level. A slice of n rows costs n log n narrow rows, spread over its nodes; no list of a window is built.
+    """
+    measures = measures or vital_and_bed_measures()
+    patient = first_non_blank(F.col("patient_id"))
+    own_value = {f"_m_{m.name}": m.value for m in measures}
+    at = F.unix_millis("event_time")
+    slice_of = F.floor(at / F.lit(window_ms))
+    lone = patient.isNull()
+    narrow = events.filter(~lone).select(
+        patient.alias("history_key"),
+        "event_type",
+        "event_id",
+        F.coalesce(F.unix_micros("arrival_time"), F.lit(-(2**62))).alias("_came"),
+        at.alias("_at"),
+        slice_of.alias("_slice"),
+        *[value.alias(name) for name, value in own_value.items()],
+    )
+    sent = narrow.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumns(
+        {
+            "_slice": F.when(F.col("_own"), F.col("_slice")).otherwise(F.col("_slice") + 1),
+            "_pos": F.when(F.col("_own"), F.col("_at")).otherwise(F.col("_at") + window_ms),
+        }
+    )
+    cell = Window.partitionBy(*ENTITY, "_slice")
+    numbered = sent.withColumns(
+        {
+            "_rank": (F.row_number().over(cell.orderBy("_came", "event_id")) - 1).cast("bigint"),
+            "_rows": F.count("*").over(cell),
+        }
+    )
+    # Right half: the row asks; left half: it gives, if anything is in the right half. A tail never asks.
+    levels = F.expr(
+        """filter(sequence(0, length(bin(_rows - 1)) - 1), l -> if(
+          (shiftright(_rank, l) & 1) = 1, _own, shiftleft(shiftright(_rank, l) + 1, l) < _rows))"""
+    )
+    spread = numbered.withColumn("_level", F.explode(levels)).withColumns(
+        {
+            "_asks": F.expr("(shiftright(_rank, _level) & 1) = 1"),
+            "_node": F.expr("shiftright(_rank, _level + 1)"),
+        }
+    )
+    node = Window.partitionBy(*ENTITY, "_slice", "_level", "_node")
+    forward = node.orderBy(F.col("_pos")).rangeBetween(Window.unboundedPreceding, 0)
+    backward = node.orderBy(F.col("_pos").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    gives, own = ~F.col("_asks"), F.col("_own")
+    parts = {}
+    for m in measures:
+        value, how = F.col(f"_m_{m.name}"), _AGGREGATE[m.how]
+        parts[f"_head_{m.name}"] = how(F.when(gives & own, value)).over(forward)
+        parts[f"_tail_{m.name}"] = how(F.when(gives & ~own, value)).over(backward)
+    answers = spread.withColumns(parts).filter("_asks")
+    found = answers.groupBy("event_id").agg(
+        *[
+            _AGGREGATE[m.how](_merge(m.how, [F.col(f"_head_{m.name}"), F.col(f"_tail_{m.name}")])).alias(f"_f_{m.name}")
+            for m in measures
+        ]
+    )
+    history = F.struct(
+        *[_merge(m.how, [F.col(f"_m_{m.name}"), F.col(f"_f_{m.name}")]).alias(m.name) for m in measures]
+    )
+    return events.withColumns(own_value).join(found, "event_id", "left").select(*events.columns, history.alias("history"))
+
+
 def hr_mean() -> Column:
     return _HR_CENTRE + F.col("history.hr_offset") / F.col("history.hr_n")
 

@@ -107,6 +107,22 @@ FROM (SELECT *, CASE WHEN event_type = 'patient_vital' THEN hr END AS v_hr,
       FROM accepted)
 WINDOW w AS (PARTITION BY who, event_type ORDER BY at_ms RANGE BETWEEN {WINDOW_MS} PRECEDING AND CURRENT ROW)"""
 
+# Arrivals put off by up to 59 hours, so that most windows have events that had not come yet.
+STEPS["put_off"] = """
+SELECT *, arrival_us + (n * 7 % 60) * 3600000000 AS came_us, event_us // 1000 AS at_ms,
+  coalesce('p:' || patient_id, 'e:' || event_id) AS who, CASE WHEN event_type = 'patient_vital' THEN hr END AS v_hr,
+  CASE WHEN event_type = 'patient_vital' THEN spo2 END AS v_spo2 FROM accepted"""
+
+STEPS["hist_arrived"] = f"""
+SELECT e.event_id, count(*) AS events, avg(x.v_hr) AS hr_mean, min(x.v_hr) AS hr_min, max(x.v_hr) AS hr_max,
+  var_pop(x.v_hr) AS hr_var, count(x.v_hr) AS hr_n,
+  first(x.v_hr ORDER BY x.at_ms, x.event_id) FILTER (WHERE x.v_hr IS NOT NULL) AS hr_first,
+  last(x.v_hr ORDER BY x.at_ms, x.event_id) FILTER (WHERE x.v_hr IS NOT NULL) AS hr_last, min(x.v_spo2) AS spo2_min
+FROM put_off e JOIN put_off x ON x.who = e.who AND x.event_type = e.event_type
+  AND x.at_ms BETWEEN e.at_ms - {WINDOW_MS} AND e.at_ms
+  AND (x.came_us < e.came_us OR x.came_us = e.came_us AND x.event_id <= e.event_id)
+GROUP BY e.event_id"""
+
 STEPS["feat"] = """
 SELECT event_id, event_type, patient_id, resource_id, source_id, trace_id, arrival_us, event_us, n, events,
   v_hr AS heart_rate, v_spo2 AS spo2, v_rr AS respiratory_rate,
@@ -321,6 +337,8 @@ NEEDS = {
     "checked": ("judged",),
     "accepted": ("checked",),
     "hist": ("accepted",),
+    "put_off": ("accepted",),
+    "hist_arrived": ("put_off",),
     "feat": ("hist",),
     "model_scores": ("feat",),
     "scores": ("model_scores",),

@@ -23,7 +23,7 @@ from tributary.operators import risk as K
 from tributary.operators import scoring as S
 from tributary.operators.dedup import dedup_events, duplicate_report, replay_quarantine, upsert_dimension
 from tributary.operators.features import feature_vectors, latest_features
-from tributary.operators.history import with_history
+from tributary.operators.history import hr_mean, hr_slope, hr_variance, with_history, with_history_as_of_arrival
 from tributary.operators.registry import model_hash, route_models
 from tributary.operators.validate import canonicalize, parse_wire, quarantine_rows, typed_payload
 from tributary.plans import flow
@@ -333,6 +333,32 @@ def history_window_query(spark, sf):
     return history.select("event_id", F.col("history.events").alias("events"))
 
 
+@register(
+    "history_as_of_arrival",
+    sql(
+        f"""SELECT event_id, events, {near('hr_mean')} AS hr_mean, hr_min, hr_max, {near('hr_var')} AS hr_var,
+  {near('(hr_last - hr_first) / nullif(hr_n - 1, 0)')} AS hr_slope, spo2_min FROM hist_arrived""",
+        "hist_arrived",
+    ),
+)
+def history_as_of_arrival_query(spark, sf):
+    """Arrivals are put off by up to 59 hours: windows hold only what had come by then."""
+    hours = flow.event_number(F.col("event_id")) * 7 % 60
+    put_off = flow.accepted(spark, sf).withColumn(
+        "arrival_time", F.timestamp_micros(us("arrival_time") + hours * 3_600_000_000)
+    )
+    return with_history_as_of_arrival(put_off, flow.WIDE.window_ms).select(
+        "event_id",
+        F.col("history.events").alias("events"),
+        F.when(F.col("history.hr_n") > 0, six(hr_mean())).alias("hr_mean"),
+        F.col("history.hr_min").alias("hr_min"),
+        F.col("history.hr_max").alias("hr_max"),
+        six(hr_variance()).alias("hr_var"),
+        six(hr_slope()).alias("hr_slope"),
+        F.col("history.spo2_min").alias("spo2_min"),
+    )
+
+
 VITALS_RAW = ["heart_rate", "spo2", "respiratory_rate", "temperature_c", "systolic_bp", "diastolic_bp"]
 VITALS_EXACT = ["heart_rate_min_5m", "heart_rate_max_5m", "spo2_min_5m", "observation_count"]
 VITALS_NEAR = ["heart_rate_mean_5m", "hr_variance_5m", "hr_slope_5m", "spo2_mean_5m", "spo2_delta_5m", "rr_mean_5m"]

@@ -22,5 +22,8 @@ class Settings:
     # Width of the time slices that spread one entity's history over tasks; None = a rule on window_ms.
     slice_ms: int | None = None
 
+    # History holds only what had arrived when its event did, so batch and stream agree on any order of time.
+    as_of_arrival: bool = False
+
 
 DEFAULTS = Settings()
