@@ -32,7 +32,9 @@ ROUNDING = 1e-9
 
 
 def quantised(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(unit vectors, integers of at most 127 as float32, scale, length of the error) of the rows."""
+    """(unit vectors, integers of at most 127 as float32, scale, length of the error) of the rows, none of them zero."""
+    # Powers of two change no digit, and squares of the largest and smallest doubles then neither overflow nor vanish.
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, keepdims=True))[1])
     unit = vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
     scale = np.abs(unit).max(1) / 127.0
     whole = np.rint(unit / scale[:, None])
