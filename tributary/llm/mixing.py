@@ -12,7 +12,7 @@ buckets, and rows of one id are numbered and dealt like others, so no task gets
 buckets at a time, until each source and class has one; a source's last ones (one per class, largest first)
 are rounded so that their sum comes nearest to what is left. All draws are hashes of the documents' ids.
 
-Null sources are one source, the last; null texts have size 0. A document without words gets its rounded copies
+Null sources are one source, the last; null texts have size 0; null and empty ids are two ids. A document without words gets its rounded copies
 and takes no words. Rows that agree in id, source and size are interchangeable. Empty tables give empty tables.
 """
 
@@ -115,6 +115,16 @@ def bucketed(rows: DataFrame, numbered: bool, seed: int) -> DataFrame:
     return rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", place.cast("long"), F.lit(seed)), "buckets"))
 
 
+def marked(text: Column) -> Column:
+    """Ids without nulls: null is the empty text, and an empty id, or one that begins with NUL, gets a NUL before it."""
+    nul = F.lit("\0")
+    return F.when(text.isNull(), F.lit("")).when((text == "") | text.startswith(nul), F.concat(nul, text)).otherwise(text)
+
+
+def unmarked(text: Column) -> Column:
+    return F.when(text.startswith(F.lit("\0")), F.substr(text, F.lit(2))).when(text != "", text)
+
+
 def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: Column | None = None, tie: Column | None = None,
             weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 8) -> DataFrame:
     """One row per document: doc_id, source, tie, size, source_size, target, copies.
@@ -124,7 +134,7 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", siz
     size = n_words(F.col("text")) if size is None else size
     narrow = settled(
         docs.select(
-            F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("doc_id"), F.col(source).cast("string").alias("source"),
+            marked(F.col(doc_id).cast("string")).alias("doc_id"), F.col(source).cast("string").alias("source"),
             (F.lit(0) if tie is None else tie).cast("long").alias("tie"), size.cast("long").alias("size"),
         )
     )
@@ -155,7 +165,7 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", siz
         out = out.union(rows)
     shares = shares.withColumnRenamed("source", "of")
     kind = docs.schema[doc_id].dataType
-    out = out.withColumn("doc_id", F.when(F.col("doc_id") != "", F.col("doc_id").cast(kind)))
+    out = out.withColumn("doc_id", unmarked(F.col("doc_id")).cast(kind))
     return out.join(shares, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "tie", "size", "source_size", "target", "copies")
 
 
