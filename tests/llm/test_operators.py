@@ -101,6 +101,33 @@ def test_shard_maps():
     assert abs(sharding.loads(more, sizes, 17)[16] - sum(sizes.values()) / 17) <= 1000
 
 
+def test_the_map_is_stored_by_version_and_edited(spark, docs, rows, tmp_path):
+    """Another session's reader sees the versions; growing moves rows into the new shard only; no version is written twice."""
+    folder = str(tmp_path / "map")
+    many = [(i, f"text {i * 7919 % 997} " * (1 + i % 40), None) for i in range(3000)]
+    table = spark.createDataFrame([m[:2] for m in many], "doc_id long, text string")
+    first = {r.doc_id: (r.shard, r.virtual_slot) for r in sharding.sharded(table, shards=8, slots=512, folder=folder).collect()}
+    load = [sum(len(t) + 1 for i, t, _ in many if first[i][0] == shard) for shard in range(8)]
+    assert max(load) - min(load) <= 0.01 * sum(load) / 8
+    made = spark.read.parquet(folder)
+    assert sorted(r.version for r in made.select("version").distinct().collect()) == [0, 1]
+    slots = {r.slot: r.shard for r in made.where("version = 1").collect()}
+    assert len(slots) == 512 and all(slots[slot] == shard for shard, slot in first.values())
+
+    sized = sharding.sized(table, 512)
+    assert sharding.grow(sized, folder) == 2
+    grown = {r.doc_id: r.shard for r in sharding.shards_of(sized, sharding.stored_map(spark, folder), 2).collect()}
+    moved = {i for i in grown if grown[i] != first[i][0]}
+    assert moved and all(grown[i] == 8 for i in moved)
+    even = sum(load) / 9
+    assert abs(sum(len(t) + 1 for i, t, _ in many if grown[i] == 8) - even) < 0.1 * even
+    # A later run goes on from the newest version.
+    assert {r.shard for r in sharding.sharded(table, slots=512, folder=folder).collect()} == set(range(9))
+    assert sharding.latest(spark, folder)[0] == 3
+    with pytest.raises(Exception, match="(?i)already exists"):
+        sharding.store_version(spark, folder, 1, slots, {})
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
@@ -250,6 +277,17 @@ def test_embeddings(spark, tile):
     assert sum(map(len, links.values())) > 100
 
 
+def test_the_largest_and_smallest_doubles_link(spark):
+    base = np.random.default_rng(8).normal(size=8)
+    base /= np.abs(base).max()
+    scales = [1e200, -1e200, 1e-200, 1.7e308, 1e-306, 1.0]
+    rows = [(i, (base * s).tolist(), 1) for i, s in enumerate(scales)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_copies(table).collect()}
+    assert got == {i: (0, 1) if i == 1 else (4, 0) for i in range(6)}
+    assert embedding_dedup.near_copies(table.limit(0)).count() == 0
+
+
 def test_quantised_bounds_hold():
     random = np.random.default_rng(2)
     rows = random.normal(size=(200, 24)) * random.lognormal(size=(200, 1))
@@ -454,6 +492,12 @@ def test_rows_of_one_id_are_dealt(spark, monkeypatch):
     assert re.search(r"Join Inner, \(.*_nth#\d+( as bigint\))? = _mark_nth#", plan)
 
 
+def test_null_and_empty_ids_are_two(spark):
+    ids = [None, "", "\0", "\0x", "plain"]
+    table = spark.createDataFrame([(x, "one two three four", "s") for x in ids], "doc_id string, text string, source string")
+    assert sorted(repr(r.doc_id) for r in mixing.mixture(table).collect()) == sorted(map(repr, ids))
+
+
 def test_all_names_of_long_texts(spark, docs, empty):
     passage = " ".join(f"shared{i * 31 % 97}" for i in range(60))
     one, other = (" ".join(f"{x}{i * 7919 % 10007}" for i in range(10000)) for x in "ab")

@@ -1,9 +1,10 @@
 """Sharding by fixed virtual slots.
 
 Records are hashed into SLOTS virtual slots by id and content, the bytes of each slot are summed (combined before their shuffle), and
-a map says which shard holds which slot. The map is a table of versions: version 0 deals the slots out in turn,
-``rebalanced`` adds a version edited by moving single slots from the largest shards to the smallest until their sizes
-are near equal, ``grown`` one that moves slots to one more shard only. Records never change slots.
+a map says which shard holds which slot. The map is a Parquet table of versions in a folder, read again by any later run:
+version 0 deals the slots out in turn (``begin``), ``rebalance`` adds a version edited by moving single slots from the largest
+shards to the smallest until their sizes are near equal, ``grow`` one that moves slots to one more shard only. Versions
+are never changed, and records never change slots.
 
 The map has SLOTS rows, so it is planned on the driver and broadcast; the records are not. Rows that agree in id and text
 are numbered first, so that repeats spread over the slots as well. Null texts have no bytes and size 1, null ids are
@@ -12,13 +13,15 @@ a value like any other. An empty table gives an empty result and the first map.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import documents_of, settled
+from tributary.llm.common import documents_of, settled, shared_folder
 
 SLOTS = 4096
-MAP = "version int, slot int, shard int, bytes long"
+MAP = "slot int, shard int, bytes long"
 
 
 def sized(docs: DataFrame, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -101,16 +104,48 @@ def grown(placed: dict[int, int], sizes: dict[int, int], shards: int) -> dict[in
     return placed
 
 
-def map_table(spark: SparkSession, versions: list[dict[int, int]], sizes: dict[int, int]) -> DataFrame:
-    rows = [(v, slot, shard, sizes.get(slot, 0)) for v, placed in enumerate(versions) for slot, shard in placed.items()]
-    return spark.createDataFrame(rows, MAP)
+def store_version(spark: SparkSession, folder: str, version: int, placed: dict[int, int], sizes: dict[int, int]) -> None:
+    """Writes one version of the map; a version that is there is never written again."""
+    rows = spark.createDataFrame([(slot, shard, sizes.get(slot, 0)) for slot, shard in sorted(placed.items())], MAP)
+    rows.coalesce(1).write.mode("errorifexists").parquet(f"{folder}/version={version}")
+
+
+def stored_map(spark: SparkSession, folder: str) -> DataFrame:
+    """(version, slot, shard, bytes) of all versions in the folder."""
+    return spark.read.schema(f"{MAP}, version int").parquet(folder).select("version", "slot", "shard", "bytes")
+
+
+def latest(spark: SparkSession, folder: str) -> tuple[int, dict[int, int]]:
+    """The newest version's number and its shard per slot: ``slots`` rows."""
+    rows = stored_map(spark, folder)
+    newest = rows.agg(F.max("version")).first()[0]
+    return newest, {r["slot"]: r["shard"] for r in rows.where(F.col("version") == newest).collect()}
+
+
+def slot_bytes(rows: DataFrame) -> dict[int, int]:
+    return {r[0]: r[1] for r in rows.groupBy("virtual_slot").agg(F.sum("size")).collect()}  # at most ``slots`` rows
 
 
-def slot_map(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
-    """The stored map of the rows: version 0 as dealt, version 1 rebalanced by the bytes of the slots."""
-    sizes = {r[0]: r[1] for r in rows.groupBy("virtual_slot").agg(F.sum("size")).collect()}  # at most ``slots`` rows
-    start = first_map(slots, shards)
-    return settled(map_table(rows.sparkSession, [start, rebalanced(start, sizes, shards)], sizes))
+def begin(rows: DataFrame, folder: str, shards: int, slots: int = SLOTS) -> int:
+    """Stores version 0: the slots dealt out in turn."""
+    store_version(rows.sparkSession, folder, 0, first_map(slots, shards), slot_bytes(rows))
+    return 0
+
+
+def rebalance(rows: DataFrame, folder: str) -> int:
+    """Edits the newest version by the bytes the rows have in each slot, and stores the next one."""
+    version, placed = latest(rows.sparkSession, folder)
+    sizes = slot_bytes(rows)
+    store_version(rows.sparkSession, folder, version + 1, rebalanced(placed, sizes, max(placed.values()) + 1), sizes)
+    return version + 1
+
+
+def grow(rows: DataFrame, folder: str) -> int:
+    """Stores a version with one more shard, into which slots move from the others, and nowhere else."""
+    version, placed = latest(rows.sparkSession, folder)
+    sizes = slot_bytes(rows)
+    store_version(rows.sparkSession, folder, version + 1, grown(placed, sizes, max(placed.values()) + 1), sizes)
+    return version + 1
 
 
 def shards_of(rows: DataFrame, placed: DataFrame, version: int) -> DataFrame:
@@ -127,7 +162,19 @@ def shards_of(rows: DataFrame, placed: DataFrame, version: int) -> DataFrame:
     return rows.join(F.broadcast(placed), "virtual_slot").withColumn("place", (F.col("before") + F.col("within")).cast("long"))
 
 
-def sharded(docs: DataFrame, shards: int = 16, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, size, text_crc32, nth, virtual_slot, shard, place; shard sizes in bytes are near equal."""
+def sharded(docs: DataFrame, shards: int = 16, slots: int = SLOTS, doc_id: str = "doc_id", text: str = "text",
+            folder: str | None = None) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, nth, virtual_slot, shard, place; shard sizes in bytes are near equal.
+
+    The map is kept in ``folder`` (one of its own in the shared folder by default): begun there if the folder holds none,
+    and edited by the documents' bytes.
+    """
     rows = settled(sized(docs, slots, doc_id, text))
-    return shards_of(rows, slot_map(rows, shards, slots), 1)
+    spark = docs.sparkSession
+    if folder is None:
+        folder = f"{shared_folder(docs)}/slot-map-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        begin(rows, folder, shards, slots)
+    version = rebalance(rows, folder)
+    return shards_of(rows, stored_map(spark, folder), version)
