@@ -26,7 +26,7 @@ MAX_DEPTH = 8
 TREES = 60
 CONTAMINATION = {"anomaly_detector": 0.03, "anomaly_detector_shadow": 0.08}
 
-_NODES = "tree int, node int, feature int, threshold double, left int, right int, depth double"
+_NODES = "tree int, node int, feature int, threshold double, left int, right int, depth double, rows int"
 
 
 @dataclass(frozen=True)
@@ -64,11 +64,11 @@ def _grow(rows: np.ndarray, rng: np.random.Generator) -> list[tuple]:
         spread = part.max(axis=0) - part.min(axis=0)
         usable = np.flatnonzero(spread > 0)
         if depth >= MAX_DEPTH or len(part) <= 1 or len(usable) == 0:
-            nodes.append([-1, 0.0, -1, -1, depth + average_path(len(part))])
+            nodes.append([-1, 0.0, -1, -1, depth + average_path(len(part)), len(part)])
             continue
         column = int(rng.choice(usable))
         cut = float(rng.uniform(part[:, column].min(), part[:, column].max()))
-        nodes.append([column, cut, -1, -1, 0.0])
+        nodes.append([column, cut, -1, -1, 0.0, len(part)])
         goes_left = part[:, column] <= cut
         todo.append((part[~goes_left], depth + 1, index, True))
         todo.append((part[goes_left], depth + 1, index, False))
@@ -106,7 +106,7 @@ def train_isolation_forest(
         tree = int(key[0])
         frame = frame.sort_values("_rank")
         nodes = _grow(frame[names].to_numpy(dtype=float), np.random.default_rng([seed, tree]))
-        out = pd.DataFrame(nodes, columns=["feature", "threshold", "left", "right", "depth"])
+        out = pd.DataFrame(nodes, columns=["feature", "threshold", "left", "right", "depth", "rows"])
         out.insert(0, "node", np.arange(len(out)))
         out.insert(0, "tree", tree)
         return out
@@ -131,6 +131,34 @@ def load_forest(nodes: DataFrame, rows: int) -> Forest:
     )
 
 
+def tree_rows(nodes: DataFrame) -> DataFrame:
+    """Per tree the rows of its root and of its leaves together, and whether each inner node's children share out its rows."""
+    child = nodes.select("tree", F.col("node").alias("child"), F.col("rows").alias("_rows"))
+    inner = nodes.filter("feature >= 0").select("tree", "node", "rows", F.explode(F.array("left", "right")).alias("child"))
+    split = inner.join(child, ["tree", "child"], "left").groupBy("tree", "node", "rows").agg(F.sum("_rows").alias("_both"))
+    odd = split.filter(~F.col("rows").eqNullSafe(F.col("_both"))).groupBy("tree").agg(F.count("*").alias("_odd"))
+    sums = nodes.groupBy("tree").agg(
+        F.sum(F.when(F.col("node") == 0, F.col("rows"))).alias("root_rows"),
+        F.sum(F.when(F.col("feature") < 0, F.col("rows"))).alias("leaf_rows"),
+    )
+    return sums.join(odd, "tree", "left").select("tree", "root_rows", "leaf_rows", F.col("_odd").isNull().alias("whole"))
+
+
+def offset_shares(vectors: DataFrame, forest: Forest, offsets: dict[str, float]) -> DataFrame:
+    """Per model the rows, those with a score below its offset, and those with one at it or below."""
+    score = -F.col("_anomaly")
+    counts = _with_anomaly(vectors, forest, "_anomaly").agg(
+        F.count("*").alias("rows"),
+        *[F.count_if(score < F.lit(o) - 1e-12).alias(f"_below{i}") for i, o in enumerate(offsets.values())],
+        *[F.count_if(score <= F.lit(o) + 1e-12).alias(f"_upto{i}") for i, o in enumerate(offsets.values())],
+    )
+    entries = [
+        F.struct(F.lit(name).alias("model_name"), F.col(f"_below{i}").alias("below"), F.col(f"_upto{i}").alias("at_or_below"))
+        for i, name in enumerate(offsets)
+    ]
+    return counts.select("rows", F.inline(F.array(*entries)))
+
+
 def anomaly_score(forest: Forest, x: np.ndarray) -> np.ndarray:
     """2^(-mean path / expected path) for a batch of rows, all rows walking each tree together."""
     total = np.zeros(len(x))

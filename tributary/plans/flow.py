@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from tributary.operators.breaker import call_outcomes, logged_calls
 from tributary.operators.decisions import decide
 from tributary.operators.dedup import dedup_events
 from tributary.operators.features import feature_vectors
+from tributary.operators.models import predict_released, publish, releases, train_release
 from tributary.operators.registry import REGISTRY, route_models
 from tributary.operators.scoring import RiskModel, attach_call_log, forest_column, predict, prediction_rows, scorers
 from tributary.operators.validate import check_events, quarantine_rows, valid_events
@@ -125,6 +127,34 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vital_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir).filter(F.col("event_type") == "patient_vital")
+
+
+def model_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Two releases: one trained on the first half of the month and valid in it from the 8th, one on all, valid from the 16th."""
+    key = (spark.sparkContext.applicationId, source_state(spark, sf_dir), "models")
+    if key not in _WRITTEN:
+        folder, rows = f"{shared_folder(spark)}/{key[0]}/{uuid.uuid4().hex}-models", vital_vectors(spark, sf_dir)
+        begin, middle = (datetime(2024, 1, day, tzinfo=timezone.utc) for day in (8, 16))
+        first = {m.name: m.version for m in REGISTRY.models if m.name in (*FORESTS, "risk_predictor")}
+        publish(spark, folder, train_release(rows.filter(F.col("event_time") < F.lit(middle)), 1, begin, first))
+        publish(spark, folder, train_release(rows, 2, middle, {name: f"{version}.r2" for name, version in first.items()}))
+        _WRITTEN[key] = folder
+    return _WRITTEN[key]
+
+
+def trained_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on stored trained models, each event by the release valid at its time."""
+    return stage_table(
+        spark,
+        sf_dir,
+        "trained",
+        lambda: decide(predict_released(vectors(spark, sf_dir), releases(spark, model_folder(spark, sf_dir)))),
+        "created_at",
+    )
+
+
 def replayed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each call would end when the accepted events are replayed at one event number a second, with outages.
 

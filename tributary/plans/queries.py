@@ -18,6 +18,7 @@ from tributary.operators import alerts as A
 from tributary.operators import decisions as D
 from tributary.operators import forest as IF
 from tributary.operators import metrics as M
+from tributary.operators import models as MD
 from tributary.operators import reports as R
 from tributary.operators import risk as K
 from tributary.operators import scoring as S
@@ -71,6 +72,11 @@ def at(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
 
+def _extended(select: str, extra: str, *steps: str) -> str:
+    """A query with its own steps after the shared ones."""
+    return sql("SELECT 1", *steps).removesuffix("\nSELECT 1") + ",\n" + extra + "\n" + select
+
+
 # --- sources and reference data ---------------------------------------------------------------
 
 
@@ -541,20 +547,16 @@ _scorer(
 )
 
 
-def _vital_vectors(spark, sf) -> DataFrame:
-    return flow.vectors(spark, sf).filter(F.col("event_type") == "patient_vital")
-
-
 @register("train_isolation_forest")
 def train_forest_query(spark, sf):
-    rows = _vital_vectors(spark, sf)
+    rows = flow.vital_vectors(spark, sf)
     return IF.train_isolation_forest(rows, rows.count())
 
 
 @register("score_isolation_forest")
 def score_forest_query(spark, sf):
     """Trains on all vitals, then scores all of them under the primary's and the shadow's offset."""
-    rows = _vital_vectors(spark, sf)
+    rows = flow.vital_vectors(spark, sf)
     forest = IF.fit_forest(rows)
     offsets = IF.forest_offsets(rows, forest, IF.CONTAMINATION)
     raw = IF.with_forest_raw(rows, forest, offsets)
@@ -569,12 +571,121 @@ def score_forest_query(spark, sf):
 
 @register("train_risk_model")
 def train_risk_query(spark, sf):
-    model = K.train_risk_model(_vital_vectors(spark, sf))
+    model = K.train_risk_model(flow.vital_vectors(spark, sf))
     rows = [("intercept", model.intercept)]
     rows += [(name, w) for (name, _), w in zip(S.RISK_INPUTS, model.weights)]
     return spark.createDataFrame(rows, "input string, weight double")
 
 
+_VITALS = "SELECT count(*) AS rows FROM feat WHERE event_type = 'patient_vital'"
+
+
+@register(
+    "forest_tree_rows",
+    sql(
+        f"""SELECT t.i::INT AS tree, least(256, v.rows)::BIGINT AS root_rows, least(256, v.rows)::BIGINT AS leaf_rows, true AS whole
+FROM range(60) t(i), ({_VITALS}) v""",
+        "feat",
+    ),
+)
+def forest_tree_rows_query(spark, sf):
+    """Each tree has its whole sample, every split shares out its rows, and the leaves hold them all."""
+    rows = flow.vital_vectors(spark, sf)
+    return IF.tree_rows(IF.train_isolation_forest(rows, rows.count()))
+
+
+@register(
+    "forest_offset_shares",
+    sql(
+        f"""SELECT m.name AS model_name, v.rows, floor(m.share * (v.rows - 1))::BIGINT AS position, true AS holds
+FROM ({_VITALS}) v, (VALUES ('anomaly_detector', 0.03::DOUBLE), ('anomaly_detector_shadow', 0.08::DOUBLE)) m(name, share)""",
+        "feat",
+    ),
+)
+def forest_offset_shares_query(spark, sf):
+    """A stored offset stands at its share of the training rows: no more are below it, no fewer at it or below."""
+    release = MD.releases(spark, flow.model_folder(spark, sf))[-1]
+    shares = IF.offset_shares(flow.vital_vectors(spark, sf), release.forest, release.offsets)
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in IF.CONTAMINATION.items() for x in pair]), F.col("model_name"))
+    position = F.floor(share * (F.col("rows") - 1))
+    return shares.select(
+        "model_name",
+        "rows",
+        position.alias("position"),
+        ((F.col("below") <= position + 1) & (F.col("at_or_below") > position)).alias("holds"),
+    )
+
+
+@register(
+    "risk_gradient",
+    sql(
+        """SELECT i.input, count(*) AS rows, count(*) FILTER (WHERE coalesce(heart_rate, 80) > 115 OR coalesce(spo2, 98) < 93
+    OR coalesce(respiratory_rate, 16) > 25) AS positives, true AS vanishes
+FROM feat, (VALUES ('intercept'), ('heart_rate'), ('spo2'), ('respiratory_rate'), ('temperature_c'), ('systolic_bp'),
+  ('heart_rate_mean_15m')) i(input) WHERE event_type = 'patient_vital' GROUP BY 1""",
+        "feat",
+    ),
+)
+def risk_gradient_query(spark, sf):
+    """The stored coefficients are the minimum of the penalised loss over all rows: its gradient vanishes there."""
+    release = MD.releases(spark, flow.model_folder(spark, sf))[-1]
+    gradient = MD.risk_gradient(flow.vital_vectors(spark, sf), release.risk)
+    vanishes = F.abs("gradient") <= F.lit(1e-4) * F.col("size")
+    return gradient.select("input", "rows", "positives", vanishes.alias("vanishes"))
+
+
+_RELEASES_SQL = """releases AS (
+  SELECT r.release, r.valid_us, m.name AS model_name, m.version || r.suffix AS model_version
+  FROM (VALUES (1, epoch_us(TIMESTAMP '2024-01-08'), ''), (2, epoch_us(TIMESTAMP '2024-01-16'), '.r2')) r(release, valid_us, suffix),
+    (VALUES ('anomaly_detector', '2.1'), ('anomaly_detector_shadow', '2.2-shadow'), ('risk_predictor', '1.4')) m(name, version))"""
+
+
+@register(
+    "stored_models",
+    f"""WITH {_RELEASES_SQL}
+SELECT release, valid_us, model_name, model_version, substring(sha256(model_name || ':' || model_version), 1, 16) AS model_hash
+FROM releases""",
+)
+def stored_models_query(spark, sf):
+    listed = MD.model_list(MD.stored_models(spark, flow.model_folder(spark, sf)))
+    return listed.select("release", us("valid_from").alias("valid_us"), "model_name", "model_version", "model_hash")
+
+
+@register(
+    "trained_predictions",
+    _extended(
+        """SELECT r.event_id, r.position::INT AS position,
+  CASE WHEN l.release IS NULL AND r.model_name = 'anomaly_detector' THEN 'threshold_detector' ELSE r.model_name END AS model_name,
+  CASE WHEN l.release IS NULL AND r.model_name = 'anomaly_detector' THEN '1.0' ELSE coalesce(l.model_version, r.model_version) END AS model_version,
+  CASE WHEN l.release IS NULL AND r.model_name = 'anomaly_detector' THEN 'fallback'
+       WHEN l.release IS NULL AND r.model_name IN ('anomaly_detector_shadow', 'risk_predictor') THEN 'circuit_open'
+       WHEN r.model_name LIKE '%_shadow' THEN 'shadow' ELSE 'success' END AS status,
+  l.release IS NOT NULL OR r.model_name NOT IN ('anomaly_detector_shadow', 'risk_predictor') AS scored
+FROM routed r LEFT JOIN releases l ON l.model_name = r.model_name AND l.valid_us <= r.event_us
+QUALIFY row_number() OVER (PARTITION BY r.event_id, r.position ORDER BY l.release DESC NULLS LAST) = 1""",
+        _RELEASES_SQL,
+        "routed",
+    ),
+)
+def trained_predictions_query(spark, sf):
+    """Each event meets the release valid at its time; before the first one, trained models are unreachable."""
+    return S.prediction_rows(flow.trained_decisions(spark, sf)).select(
+        "event_id",
+        "position",
+        "model_name",
+        "model_version",
+        "status",
+        F.col("score").isNotNull().alias("scored"),
+    )
+
+
+@register("trained_alerts")
+def trained_alerts_query(spark, sf):
+    """Alerts of decisions on trained models."""
+    alerts = A.open_alerts(flow.trained_decisions(spark, sf))
+    return alerts.select("id", "event_id", "severity", "dedup_key", us("created_at").alias("created_us"))
+
+
 register(
     "shadow_predictions",
     sql(f"SELECT event_id, model_name, status, shadow, {near('score')} AS score FROM preds WHERE shadow", "preds"),
@@ -652,11 +763,6 @@ breakers AS (
          ELSE 'OPEN' END AS state FROM streaks)"""
 
 
-def _extended(select: str, extra: str, *steps: str) -> str:
-    """A query with its own steps after the shared ones."""
-    return sql("SELECT 1", *steps).removesuffix("\nSELECT 1") + ",\n" + extra + "\n" + select
-
-
 def _breakers(spark, sf) -> DataFrame:
     return R.breaker_state(R.call_attempts(flow.predictions(spark, sf)), at(BREAKER_AS_OF), BREAKER)
 
