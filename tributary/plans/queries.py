@@ -33,6 +33,7 @@ from tributary.schema import PAYLOADS, STAGES
 from tributary.session import shared_folder, use_engine_settings
 from tributary.sources.streams import stage_messages
 from tributary.sources.tables import patients, table, wire_events
+from tributary.streaming.snapshot import run_latest_features, stored_latest_features
 from tributary.streaming.stages import alert_states, kpis, run_alert_lifecycle, run_kpis
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1503,6 +1504,31 @@ def stream_kpis_query(spark, sf):
     return kpis(spark, f"{folder}/kpis").select(us("window_start").alias("minute_us"), "events", "stale", "patients")
 
 
+@register(
+    "stream_latest_features",
+    sql(
+        """SELECT patient_id, event_id, 1706745600000000 + n * 1000000 AS arrival_us, heart_rate FROM feat
+WHERE nullif(patient_id, '') IS NOT NULL AND n > (SELECT max(n) FROM feat) + 10 - 120
+QUALIFY row_number() OVER (PARTITION BY patient_id ORDER BY n DESC) = 1""",
+        "feat",
+    ),
+)
+def stream_latest_features_query(spark, sf):
+    """The stored latest vectors, replayed at one event number a second in four lots in no order, ten seconds after the last."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-latest"
+    start = F.unix_seconds(at("2024-02-01"))
+    replayed = flow.vectors(spark, sf).withColumn(
+        "arrival_time", F.timestamp_seconds(start + flow.event_number(F.col("event_id")))
+    )
+    replayed.repartition(4, "event_id").write.parquet(f"{folder}/vectors")
+    stream = spark.readStream.schema(replayed.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/vectors")
+    run_latest_features(stream, f"{folder}/latest", f"{folder}/checkpoint", compact_every=2).awaitTermination()
+    last = spark.read.parquet(f"{folder}/vectors").agg(F.max("arrival_time")).first()[0]
+    now = F.lit(last).cast("timestamp") + F.expr("interval 10 seconds")
+    latest = stored_latest_features(spark, f"{folder}/latest", replayed.schema, now)
+    return latest.select("patient_id", "event_id", us("arrival_time").alias("arrival_us"), F.col("features.heart_rate").alias("heart_rate"))
+
+
 @register(
     "stream_alert_lifecycle",
     sql(
