@@ -33,6 +33,7 @@ from tributary.schema import PAYLOADS, STAGES
 from tributary.session import shared_folder, use_engine_settings
 from tributary.sources.streams import stage_messages
 from tributary.sources.tables import patients, table, wire_events
+from tributary.streaming.kpis import open_alerts_by_severity, run_model_stats, run_open_alerts, stored_model_stats
 from tributary.streaming.snapshot import run_latest_features, stored_latest_features
 from tributary.streaming.stages import alert_states, kpis, run_alert_lifecycle, run_kpis
 
@@ -1504,6 +1505,50 @@ def stream_kpis_query(spark, sf):
     return kpis(spark, f"{folder}/kpis").select(us("window_start").alias("minute_us"), "events", "stale", "patients")
 
 
+def _dealt(spark, folder: str, rows: dict[str, tuple[DataFrame, str]]) -> list[DataFrame]:
+    """Each table as a stream of four files in no order, one file per micro-batch."""
+    streams = []
+    for name, (df, key) in rows.items():
+        df.repartition(4, key).write.parquet(f"{folder}/{name}")
+        streams.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}"))
+    return streams
+
+
+@register(
+    "stream_open_alerts",
+    sql("SELECT severity, count(*) AS alerts FROM lifecycle WHERE status = 'OPEN' GROUP BY 1", "lifecycle"),
+)
+def stream_open_alerts_query(spark, sf):
+    """Open alerts by severity, kept by adding openings and taking off those that a command ends."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-open"
+    raised = flow.alerts(spark, sf).select("id", "severity", "status", "event_id", "created_at")
+    streams = _dealt(spark, folder, {"alerts": (raised, "id"), "commands": (flow.commands(raised), "command_id")})
+    run_open_alerts(*streams, f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
+    return open_alerts_by_severity(spark, f"{folder}/changes")
+
+
+@register(
+    "stream_model_stats",
+    _extended(
+        "SELECT model_name, model_version, count, success_rate, true AS p95_holds FROM stats", _STATS_SQL, "preds"
+    ),
+)
+def stream_model_stats_query(spark, sf):
+    """Statistics per model from stored parts; the sketch's p95 stands within 1 % of its rank among all latencies."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-stats"
+    rows = flow.predictions(spark, sf).select("id", "model_name", "model_version", "status", "latency_ms", "created_at")
+    run_model_stats(*_dealt(spark, folder, {"predictions": (rows, "id")}), f"{folder}/parts", f"{folder}/checkpoint").awaitTermination()
+    stats = stored_model_stats(spark, f"{folder}/parts")
+    latency = F.coalesce("latency_ms", F.lit(0.0))
+    # One row per model, read against all predictions.
+    ranks = rows.join(F.broadcast(stats), ["model_name", "model_version"]).groupBy(*stats.columns).agg(
+        F.avg((latency < F.col("p95_ms") - 0.006).cast("double")).alias("_below"),
+        F.avg((latency <= F.col("p95_ms") + 0.006).cast("double")).alias("_upto"),
+    )
+    holds = (F.col("_below") <= R.MODEL_QUANTILE + 0.01) & (F.col("_upto") >= R.MODEL_QUANTILE - 0.01)
+    return ranks.select("model_name", "model_version", "count", "success_rate", holds.alias("p95_holds"))
+
+
 @register(
     "stream_latest_features",
     sql(
