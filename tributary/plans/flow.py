@@ -249,6 +249,16 @@ def commands(alert_table: DataFrame) -> DataFrame:
     )
 
 
+def written_folder(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], None]) -> str:
+    """A folder that ``build`` fills once per session and state of the source."""
+    key = (spark.sparkContext.applicationId, source_state(spark, sf_dir), name)
+    if key not in _WRITTEN:
+        folder = f"{shared_folder(spark)}/{key[0]}/{uuid.uuid4().hex}-{name}"
+        build(folder)
+        _WRITTEN[key] = folder
+    return _WRITTEN[key]
+
+
 def stream_tables(spark: SparkSession, sf_dir: str) -> str:
     """Folder with the tables the streams leave after all messages, run once per session.
 

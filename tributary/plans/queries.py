@@ -31,11 +31,12 @@ from tributary.plans import flow
 from tributary.plans.oracle import breaker_steps, near, round_even, sql
 from tributary.schema import PAYLOADS, STAGES
 from tributary.session import shared_folder, use_engine_settings
-from tributary.sources.streams import stage_messages
+from tributary.sources.streams import read_raw_events, stage_messages, write_stage
 from tributary.sources.tables import patients, table, wire_events
 from tributary.streaming.kpis import open_alerts_by_severity, run_model_stats, run_open_alerts, stored_model_stats
+from tributary.streaming.replay import REPLAYS, marked_quarantine, replayed_messages, run_replays
 from tributary.streaming.snapshot import run_latest_features, stored_latest_features
-from tributary.streaming.stages import alert_states, kpis, run_alert_lifecycle, run_kpis
+from tributary.streaming.stages import alert_states, kpis, run_alert_lifecycle, run_events, run_kpis, run_quarantine
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +97,41 @@ def read_raw_events_query(spark, sf):
     return parsed.select(*names, us("arrival_time").alias("arrival_us"))
 
 
+@register(
+    "raw_event_files",
+    sql(
+        """SELECT event_id, source_id, event_type, patient_id, device_id, resource_id, schema_version, trace_id, true AS dated
+FROM wire""",
+        "wire",
+    ),
+)
+def raw_event_files_query(spark, sf):
+    """Messages written as JSON lines and read again; without an own clock a line came when its file did."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-lines"
+    wire_events(spark, sf).select("value").write.text(folder)
+    parsed = parse_wire(read_raw_events(spark, folder))
+    names = ["event_id", "source_id", "event_type", "patient_id", "device_id", "resource_id", "schema_version", "trace_id"]
+    return parsed.select(*names, F.col("arrival_time").isNotNull().alias("dated"))
+
+
+@register(
+    "stage_files",
+    sql(
+        """SELECT event_id, source_id, arrival_us, strftime(make_timestamp(arrival_us), '%Y-%m-%d') AS arrival_date FROM accepted
+WHERE make_timestamp(arrival_us) >= TIMESTAMP '2024-01-10' AND make_timestamp(arrival_us) < TIMESTAMP '2024-01-15'""",
+        "accepted",
+    ),
+)
+def stage_files_query(spark, sf):
+    """The accepted stage written by arrival date; five days of it are read, the others are not opened."""
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-stages"
+    write_stage(flow.accepted(spark, sf), folder, "validated")
+    days = spark.read.parquet(f"{folder}/validated").filter(F.col("arrival_date").between(F.lit("2024-01-10"), F.lit("2024-01-14")))
+    return days.select(
+        "event_id", "source_id", us("arrival_time").alias("arrival_us"), F.col("arrival_date").cast("string").alias("arrival_date")
+    )
+
+
 @register(
     "write_stage",
     sql(
@@ -1514,6 +1550,44 @@ def _dealt(spark, folder: str, rows: dict[str, tuple[DataFrame, str]]) -> list[D
     return streams
 
 
+def _stream_replayed(spark, sf) -> str:
+    """Streams over all messages, then requests for every record refused for its clock, half of them made twice, then the replays."""
+
+    def run(folder: str) -> None:
+        wire_events(spark, sf).write.parquet(f"{folder}/messages")
+        raw = spark.readStream.schema("value string, arrival_time timestamp").parquet(f"{folder}/messages")
+        run_quarantine(raw, folder, f"{folder}/checkpoint-quarantine", flow.WIDE).awaitTermination()
+        # Nothing is replayed yet; the query is started again below with both sources.
+        spark.createDataFrame([], REPLAYS).withColumn("batch_id", F.lit(-1)).write.parquet(f"{folder}/replays")
+        held = spark.read.parquet(f"{folder}/quarantine").filter(F.col("failure_code") == "CLOCK_SKEW")
+        asked = held.select("id", F.timestamp_micros(us("created_at") + 3_600_000_000).alias("requested_at"))
+        asked = asked.unionByName(asked.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == 0))
+        for _ in range(2):
+            source = raw.unionByName(replayed_messages(spark, folder))
+            run_events(source, folder, f"{folder}/checkpoint", flow.fixed_scorers(), flow.WIDE, flow.with_fixed_raw).awaitTermination()
+            if asked is not None:
+                run_replays(*_dealt(spark, folder, {"requests": (asked, "id")}), folder, f"{folder}/checkpoint-replays").awaitTermination()
+                asked = None
+
+    return flow.written_folder(spark, sf, "stream-replay", run)
+
+
+register("stream_replay", ORACLE["replay_quarantine"])(
+    lambda spark, sf: spark.read.parquet(f"{_stream_replayed(spark, sf)}/accepted")
+    .join(
+        spark.read.schema(REPLAYS).parquet(f"{_stream_replayed(spark, sf)}/replays").select("event_id", "arrival_time"),
+        ["event_id", "arrival_time"],
+        "left_semi",
+    )
+    .select("event_id", "source_id", us("arrival_time").alias("arrival_us"))
+)
+register("stream_replay_marks", ORACLE["replay_marks"])(
+    lambda spark, sf: marked_quarantine(spark, _stream_replayed(spark, sf))
+    .filter(F.col("batch_id") == 0)
+    .select("event_id", "failure_code", us("created_at").alias("created_us"), "replayed")
+)
+
+
 @register(
     "stream_open_alerts",
     sql("SELECT severity, count(*) AS alerts FROM lifecycle WHERE status = 'OPEN' GROUP BY 1", "lifecycle"),
