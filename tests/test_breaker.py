@@ -6,7 +6,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from tributary.operators.breaker import breaker_calls, call_outcomes
+from tributary.operators.breaker import breaker_after, breaker_calls, call_outcomes
 from tributary.operators.registry import Model, Registry
 from tributary.settings import Settings
 
@@ -64,6 +64,21 @@ def test_every_call(spark, seed, threshold, reset_s, fail, step_ms, parts):
     assert {"OPEN", "HALF_OPEN", "CLOSED"} <= {state for _, state in want.values()}
 
 
+@pytest.mark.parametrize("seed, threshold, reset_s", [(6, 5, 15), (7, 1, 400)])
+def test_state_is_carried_on(spark, seed, threshold, reset_s):
+    """Calls in lots by order, each going on from the state after the one before, are met as all at once."""
+    rows = sorted(calls(seed, 600, 0.4, 500), key=lambda c: (c[2], c[0]))
+    settings, state, got = Settings(breaker_threshold=threshold, breaker_reset_s=reset_s), None, {}
+    for start in range(0, 600, 150):
+        lot = spark.createDataFrame(rows[start : start + 150], SCHEMA)
+        met = breaker_calls(lot, F.col("good"), settings=settings, before=state)
+        got |= {(r.event_id, r.model_name): (r.breaker_failures, r.breaker) for r in met.collect()}
+        after = breaker_after(met, F.col("good"), settings=settings, before=state)
+        state = spark.createDataFrame(after.collect(), after.schema)
+    assert got == loop(rows, threshold, reset_s)
+    assert state.count() == len({r[1] for r in rows})
+
+
 def test_odd_calls(spark):
     """Unregistered models go, null times come first, null outcomes fail, other columns stay, no rows give none."""
     rows = [

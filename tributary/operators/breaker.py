@@ -187,12 +187,18 @@ def _replayed(threshold: int, reset_us: int):
 
 
 def breaker_calls(
-    calls: DataFrame, ok: Column, at: str = "called_at", settings: Settings = DEFAULTS, registry: Registry = REGISTRY
+    calls: DataFrame,
+    ok: Column,
+    at: str = "called_at",
+    settings: Settings = DEFAULTS,
+    registry: Registry = REGISTRY,
+    before: DataFrame | None = None,
 ) -> DataFrame:
     """Calls of registered models with the breaker as each call met it.
 
     ``ok`` is the outcome the call has if it is let through. Adds ``breaker`` (CLOSED, HALF_OPEN: let through; OPEN: refused) and
     ``breaker_failures`` (failures in a row before the call, up to the threshold, where they stay while it is open).
+    ``before`` is the state to go on from (see ``breaker_after``), one row per model; by default all are closed.
     """
     spark = calls.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -209,6 +215,14 @@ def breaker_calls(
     # A checkpoint keeps partitions and their order, also when an executor is lost between the two walks.
     sorted_calls = ordered.withColumn("_part", F.spark_partition_id()).checkpoint()
     blocks = sorted_calls.select("model_name", "_part", "_at", "_ok").mapInArrow(_walked(threshold, reset_us), _BLOCK)
+    if before is not None:
+        # A block before the first one, after which the breaker is as given however it was entered.
+        state = F.struct(F.col("failures").cast("int").alias("failures"), F.unix_micros("opened_at").alias("opened_us"))
+        always = F.struct(F.lit(2**63 - 1).alias("until"), state["failures"].alias("failures"), state["opened_us"].alias("opened_us"))
+        carried = before.select(
+            "model_name", F.lit(-1).alias("_part"), F.array_repeat(state, threshold).alias("closed"), F.array(always).alias("pieces")
+        )
+        blocks = blocks.unionByName(carried)
     entered = (
         blocks.repartition("model_name")
         .sortWithinPartitions("model_name", "_part")
@@ -223,6 +237,32 @@ def breaker_calls(
     )
 
 
+def breaker_after(
+    met: DataFrame,
+    ok: Column,
+    at: str = "called_at",
+    settings: Settings = DEFAULTS,
+    before: DataFrame | None = None,
+) -> DataFrame:
+    """``model_name, failures, opened_at`` after the calls of ``breaker_calls``, to go on from with later calls.
+
+    The last call let through decides; a model of ``before`` without one stays as it was. One row per model, found by a
+    maximum that is combined before the shuffle.
+    """
+    order = [at, "event_id", *[c for c in ("fallback_for",) if c in met.columns]]
+    last = F.struct(*order, "breaker_failures", F.coalesce(ok, F.lit(False)).alias("ok"), F.col(at).alias("at"))
+    ends = met.filter(F.col("breaker") != "OPEN").groupBy("model_name").agg(F.max(last).alias("_last"))
+    failures = F.when(F.col("_last.ok"), F.lit(0)).otherwise(
+        F.least(F.col("_last.breaker_failures") + 1, F.lit(settings.breaker_threshold))
+    )
+    ends = ends.select("model_name", failures.alias("failures"), "_last.at")
+    opened = F.when(F.col("failures") == settings.breaker_threshold, F.col("at"))
+    ends = ends.select("model_name", "failures", opened.alias("opened_at"))
+    if before is None:
+        return ends
+    return ends.unionByName(before.select(*ends.columns).join(ends, "model_name", "left_anti"))
+
+
 def call_outcomes(log: DataFrame, settings: Settings = DEFAULTS, registry: Registry = REGISTRY) -> DataFrame:
     """The calls that are really made, with their outcome under the breakers.
 
