@@ -71,7 +71,7 @@ def stage_table(
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check_events(wire_events(spark, sf_dir, spark.sparkContext.defaultParallelism))
+    return check_events(wire_events(spark, sf_dir))
 
 
 def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,6 +259,16 @@ def written_folder(spark: SparkSession, sf_dir: str, name: str, build: Callable[
     return _WRITTEN[key]
 
 
+def write_lots(spark: SparkSession, sf_dir: str, folder: str) -> None:
+    """The messages in three lots by the date in their timestamp, made once.
+
+    Each lot has as many files as tasks made it, so the micro-batch that reads it is spread as well.
+    """
+    day = F.get_json_object("value", "$.timestamp")
+    part = F.when(day < "2024-01-11", 0).when(day < "2024-01-21", 1).otherwise(2)
+    wire_events(spark, sf_dir).withColumn("part", part).write.partitionBy("part").parquet(folder)
+
+
 def stream_tables(spark: SparkSession, sf_dir: str) -> str:
     """Folder with the tables the streams leave after all messages, run once per session.
 
@@ -268,11 +278,10 @@ def stream_tables(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, source_state(spark, sf_dir), "streams")
     if key not in _WRITTEN:
         folder = f"{shared_folder(spark)}/{key[0]}/{uuid.uuid4().hex}-streams"
-        day = F.get_json_object("value", "$.timestamp")
-        part = F.when(day < "2024-01-11", 0).when(day < "2024-01-21", 1).otherwise(2)
-        messages = wire_events(spark, sf_dir).withColumn("part", part)
+        write_lots(spark, sf_dir, f"{folder}/lots")
         for i in range(3):
-            messages.filter(F.col("part") == i).drop("part").write.mode("append").parquet(f"{folder}/messages")
+            lot = spark.read.schema("value string, arrival_time timestamp").parquet(f"{folder}/lots/part={i}")
+            lot.write.mode("append").parquet(f"{folder}/messages")
             raw = spark.readStream.schema("value string, arrival_time timestamp").parquet(f"{folder}/messages")
             run_quarantine(raw, folder, f"{folder}/checkpoint-quarantine", WIDE).awaitTermination()
             run_events(raw, folder, f"{folder}/checkpoint", fixed_scorers(), WIDE, with_fixed_raw).awaitTermination()

@@ -132,10 +132,19 @@ def _payload() -> Column:
     )
 
 
-def wire_events(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
-    """``value`` (JSON text) and ``arrival_time`` of every message, copies included; dealt to ``partitions`` if given."""
+# Messages cost much more than the few bytes of a row they are made from, so tasks are dealt by rows, not by bytes.
+ROWS_PER_TASK = 100_000
+
+
+def spread_partitions(df: DataFrame) -> int:
+    """Tasks for work per row: one per so many rows, at least one per core. Counts by the files' footers."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
+
+
+def wire_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``value`` (JSON text) and ``arrival_time`` of every message, copies included; rows are dealt evenly to tasks."""
     events = table(spark, sf_dir, "events")
-    base = (events.repartition(partitions) if partitions else events).select(
+    base = events.repartition(spread_partitions(events)).select(
         F.col("event_id").alias("n"),
         F.col("ts").cast("timestamp").alias("ts"),
         "user_id",

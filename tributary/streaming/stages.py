@@ -154,9 +154,9 @@ def run_events(
     ``checkpoint``, which belongs to ``out``.
     """
     events = stream_dedup(valid_events(stream_validate(raw, settings)))
+    spark, accepted = raw.sparkSession, f"{out}/accepted"  # a micro-batch's own session has no adaptive execution
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        spark, accepted = rows.sparkSession, f"{out}/accepted"
         rows = rows.persist()  # the state is read and written once
         try:
             at_ms, came_ms = F.unix_millis("event_time"), F.unix_millis("arrival_time")
