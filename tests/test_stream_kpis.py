@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tributary.operators.alerts import alert_lifecycle
 from tributary.operators.reports import kpi_alerts_by_severity
-from tributary.streaming.kpis import open_alerts_by_severity, run_model_stats, run_open_alerts, stored_model_stats
+from tributary.streaming.kpis import open_alerts_by_severity, run_model_stats, run_open_alerts, stored_model_stats, stream_open_alerts
 
 ALERT = "id string, severity string, status string"
 COMMAND = "alert_id string, command string, actor string, at timestamp, command_id string"
@@ -64,3 +64,23 @@ def test_model_stats_from_sketches(spark, tmp_path):
         values = np.array([r[3] or 0.0 for r in mine])
         low, high = (values < got[model].p95_ms - 0.006).mean(), (values <= got[model].p95_ms + 0.006).mean()
         assert low <= 0.95 + 0.007 and high >= 0.95 - 0.007
+
+
+def test_open_alerts_need_no_python_call_per_alert(spark, tmp_path):
+    """The state is Spark's own aggregate; an alert that comes again with another severity, after its end or not, changes nothing."""
+    lots = [
+        ([("a", "LOW", "OPEN"), ("b", None, "OPEN"), ("c", "HIGH", None)], [("z", "ack", "x", None, "1")]),
+        ([("a", "CRITICAL", "RESOLVED"), ("z", "HIGH", "OPEN")], [("b", "ack", "x", None, "2"), ("a", "note", "x", None, "3")]),
+        ([("b", "HIGH", "OPEN")], [("a", "resolve", "x", None, "4"), ("a", "ack", "y", None, "5"), ("b", "resolve", "x", None, "6")]),
+    ]
+    want = [{("LOW", 1), (None, 1)}, {("LOW", 1)}, set()]
+    for (alerts, commands), left in zip(lots, want):
+        streams = []
+        for name, kind, rows in (("alerts", ALERT, alerts), ("commands", COMMAND, commands)):
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            streams.append(spark.readStream.schema(kind).parquet(str(tmp_path / name)))
+        query = run_open_alerts(*streams, str(tmp_path / "out"), str(tmp_path / "cp"))
+        query.awaitTermination()
+        assert {tuple(r) for r in open_alerts_by_severity(spark, str(tmp_path / "out")).collect()} == left
+    plan = stream_open_alerts(*streams)._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Python" not in plan and "Pandas" not in plan

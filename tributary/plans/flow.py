@@ -221,7 +221,7 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return open_alerts(decisions(spark, sf_dir))
+    return stage_table(spark, sf_dir, "alerts", lambda: open_alerts(decisions(spark, sf_dir)), "created_at")
 
 
 def commands(alert_table: DataFrame) -> DataFrame:
