@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash_similar.one_per_group(docs)
+    """One document of each group of near-duplicates: fingerprints at two bits or fewer, and sets of five words at 0.8 or more."""
+    return simhash_similar.one_per_group(docs, bits=2)
 
 
 def drop_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

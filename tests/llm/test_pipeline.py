@@ -4,7 +4,7 @@ import subprocess
 import sys
 
 import corpus_pipeline
-from tributary.llm import pii
+from tributary.llm import pii, simhash, simhash_similar
 from tributary.llm.queries import QUERIES
 
 
@@ -25,6 +25,20 @@ def test_stages(spark, sf, tmp_path):
     assert QUERIES["pipeline"](spark, sf).count() == counts[-1]
 
 
+def test_copies_by_fingerprint_and_by_sets(spark, sf):
+    """Two texts around one much repeated line link by fingerprint only, two that differ in three words by their sets only."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    line, base = words("line", 13) + " ", words("word", 200).split()
+    changed = [w if i not in (40, 100, 160) else "other" for i, w in enumerate(base)]
+    texts = {1: line * 50 + words("x", 20), 2: line * 50 + words("y", 20), 3: " ".join(base), 4: " ".join(changed), 5: words("z", 50), 6: None, 7: ""}
+    prints = {k: simhash.fingerprint(t or "") for k, t in texts.items()}
+    assert (prints[1] ^ prints[2]).bit_count() <= 2 < ((prints[3] ^ prints[4]) & (1 << 64) - 1).bit_count()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    alone = {r.doc_id for r in simhash_similar.one_per_group(docs).collect()}
+    assert alone == {1, 2, 3, 5, 6}
+    assert {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, sf).collect()} == {1, 3, 5, 6}
+
+
 def test_entry_without_the_subpackage():
     code = "import sys; sys.modules['tributary.llm'] = None\ntry:\n import tributary.llm\nexcept ModuleNotFoundError as e:\n print(e.name)"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=".").stdout.strip() == "tributary.llm"

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from tributary.llm.common import documents_of, free, pieces, settled, texts_of
 from tributary.llm.components import components
 from tributary.llm.embedding_dedup import Forest
+from tributary.llm import simhash
 from tributary.llm.simhash import shingle_hashes
 
 CELLS, SMALL, TILE = 1024, 8, 1024
@@ -367,17 +368,34 @@ def grouped(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int
     return rows.join(roots, "fp", "left").select("doc_id", F.coalesce("root", "fp").alias("root"))
 
 
+def joined_by_fingerprints(found: DataFrame, docs: DataFrame, bits: int, seed: int) -> DataFrame:
+    """``grouped``'s rows, groups that hold documents whose SimHash fingerprints link (``simhash.grouped``) made one.
+
+    ``doc_id`` is a struct that holds the text's ``hash``. The links are between groups: one row per group and fingerprint group.
+    """
+    near = simhash.grouped(docs, bits=bits, seed=seed, doc_id="_key", text="_text").select(F.col("doc_id.hash").alias("hash"), F.col("root").alias("near"))
+    sides = found.select(F.col("doc_id.hash").alias("hash"), "root").distinct().join(near.distinct(), "hash").select("root", "near").distinct()
+    lowest = sides.groupBy("near").agg(F.min("root").alias("low"), F.count("*").alias("n")).where("n > 1")
+    roots = components(sides.join(lowest, "near").select(F.col("root").alias("a"), F.col("low").alias("b"))).toDF("root", "_low")
+    return found.join(roots, "root", "left").select("doc_id", F.coalesce("_low", "root").alias("root"))
+
+
 def one_per_group(docs: DataFrame, width: int = 5, similarity: float = 0.8, seed: int = 42, doc_id: str = "doc_id", text: str = "text",
-                  bound: int = FEW) -> DataFrame:
+                  bound: int = FEW, bits: int | None = None) -> DataFrame:
     """One document of each group, the one of smallest id (by content where ids repeat, null ids last), with all its columns.
 
+    With ``bits``, documents whose SimHash fingerprints (of ``simhash``, repeats included) differ in so few bits are of one group as well.
+
     The choice is made on narrow rows. Up to ``bound`` rows that go, and ids and contents that come several times, are broadcast, and
     only rows of the latter are shuffled; beyond, whole rows are shuffled once, by id and content, after at most
     one of each such pair per task is left. Documents without words are one group.
     """
     names = docs.columns
     key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash")).alias("_key")
-    found = grouped(docs.select(key, F.col(text).alias("_text")), width, similarity, seed, "_key", "_text")
+    keyed = docs.select(key, F.col(text).alias("_text"))
+    found = grouped(keyed, width, similarity, seed, "_key", "_text")
+    if bits is not None:
+        found = joined_by_fingerprints(settled(found), keyed, bits, seed)
     found = found.groupBy("root", F.col("doc_id.id").alias("id"), F.col("doc_id.hash").alias("hash")).agg(F.count("*").alias("n"))
     found = settled(found)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("hash").alias("hash"))).alias("best"))
