@@ -20,3 +20,9 @@ def test_a_lot_of_messages_has_many_files(spark, sf, tmp_path):
     cores = spark.sparkContext.defaultParallelism
     files = lots.groupBy("part").agg(F.countDistinct("file").alias("files")).collect()
     assert {r.part: r.files for r in files} == {i: cores for i in range(3)}
+
+
+def test_messages_are_parsed_once_for_events_and_quarantine(spark, sf):
+    files = [set(df.inputFiles()) for df in (flow.checked(spark, sf), flow.valid(spark, sf))]
+    assert files[0] == files[1] and all("-checked/" in f for f in files[0])
+    assert set(flow.checked(spark, sf).inputFiles()) == files[0]

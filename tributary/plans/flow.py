@@ -1,6 +1,6 @@
 """The stages put together over the driver's tables.
 
-Accepted events, quarantine, feature vectors, predictions and decisions are stage tables: each is written once per session
+Checked and accepted events, quarantine, feature vectors, predictions, decisions and alerts are stage tables: each is written once per session
 to the shared folder and read from there, so that a query on a late stage neither parses the messages
 again nor carries the whole lineage. All other steps are lazy.
 """
@@ -71,7 +71,8 @@ def stage_table(
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return check_events(wire_events(spark, sf_dir))
+    """Written once, so that accepted events and quarantine do not parse every message twice."""
+    return stage_table(spark, sf_dir, "checked", lambda: check_events(wire_events(spark, sf_dir)))
 
 
 def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
