@@ -1,5 +1,7 @@
 """Work per message is dealt to many tasks by rows, however few bytes or files the tables have."""
 
+import os
+
 from pyspark.sql import functions as F
 
 from tributary.plans import flow
@@ -26,3 +28,15 @@ def test_messages_are_parsed_once_for_events_and_quarantine(spark, sf):
     files = [set(df.inputFiles()) for df in (flow.checked(spark, sf), flow.valid(spark, sf))]
     assert files[0] == files[1] and all("-checked/" in f for f in files[0])
     assert set(flow.checked(spark, sf).inputFiles()) == files[0]
+
+
+def test_state_of_streams_is_dealt_by_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 100)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    wanted = tables.spread_partitions(tables.table(spark, sf, "events"))
+    monkeypatch.setattr(flow, "_WRITTEN", {})
+    folder = flow.stream_tables(spark, sf)
+    stores = [name for name in os.listdir(f"{folder}/checkpoint/state/0") if name.isdigit()]
+    assert len(stores) == wanted != int(before)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert spark.read.parquet(f"{folder}/accepted").count() == flow.accepted(spark, sf).count()

@@ -24,9 +24,9 @@ from tributary.operators.models import predict_released, publish, releases, trai
 from tributary.operators.registry import REGISTRY, route_models
 from tributary.operators.scoring import RiskModel, attach_call_log, forest_column, predict, prediction_rows, scorers
 from tributary.operators.validate import check_events, quarantine_rows, valid_events
-from tributary.session import shared_folder
+from tributary.session import shared_folder, shuffled_by
 from tributary.settings import DEFAULTS
-from tributary.sources.tables import wire_events
+from tributary.sources.tables import spread_partitions, table, wire_events
 from tributary.streaming.stages import run_alerts, run_events, run_quarantine
 
 # The tables hold one event per entity and hours: with a window of three days it holds several events.
@@ -274,18 +274,21 @@ def stream_tables(spark: SparkSession, sf_dir: str) -> str:
     """Folder with the tables the streams leave after all messages, run once per session.
 
     The messages come in three lots by the date in their timestamp, one micro-batch each, and the queries are started
-    again for each from their checkpoints, so copies and history reach over micro-batches and restarts.
+    again for each from their checkpoints, so copies and history reach over micro-batches and restarts. The two queries on messages
+    do not need each other and run side by side; state and shuffles are dealt by rows, as the messages are.
     """
     key = (spark.sparkContext.applicationId, source_state(spark, sf_dir), "streams")
     if key not in _WRITTEN:
         folder = f"{shared_folder(spark)}/{key[0]}/{uuid.uuid4().hex}-streams"
         write_lots(spark, sf_dir, f"{folder}/lots")
-        for i in range(3):
-            lot = spark.read.schema("value string, arrival_time timestamp").parquet(f"{folder}/lots/part={i}")
-            lot.write.mode("append").parquet(f"{folder}/messages")
-            raw = spark.readStream.schema("value string, arrival_time timestamp").parquet(f"{folder}/messages")
-            run_quarantine(raw, folder, f"{folder}/checkpoint-quarantine", WIDE).awaitTermination()
-            run_events(raw, folder, f"{folder}/checkpoint", fixed_scorers(), WIDE, with_fixed_raw).awaitTermination()
-        run_alerts(spark, folder, f"{folder}/checkpoint-alerts", WIDE).awaitTermination()
+        with shuffled_by(spark, spread_partitions(table(spark, sf_dir, "events"))):
+            for i in range(3):
+                lot = spark.read.schema("value string, arrival_time timestamp").parquet(f"{folder}/lots/part={i}")
+                lot.write.mode("append").parquet(f"{folder}/messages")
+                raw = spark.readStream.schema("value string, arrival_time timestamp").parquet(f"{folder}/messages")
+                refused = run_quarantine(raw, folder, f"{folder}/checkpoint-quarantine", WIDE)
+                run_events(raw, folder, f"{folder}/checkpoint", fixed_scorers(), WIDE, with_fixed_raw).awaitTermination()
+                refused.awaitTermination()
+            run_alerts(spark, folder, f"{folder}/checkpoint-alerts", WIDE).awaitTermination()
         _WRITTEN[key] = folder
     return _WRITTEN[key]

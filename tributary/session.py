@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +41,22 @@ def use_engine_settings(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
+@contextmanager
+def shuffled_by(spark: SparkSession, partitions: int) -> Iterator[None]:
+    """So many shuffle partitions for the streams that are started and run inside.
+
+    A stream has no adaptive execution: each micro-batch pays a task, a state store and often a Python worker for every
+    partition of the session's setting, however few rows there are. The checkpoint keeps the number it was started with.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(partitions))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
