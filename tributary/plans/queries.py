@@ -12,6 +12,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tributary.functions.columns import partition_key, seconds_between
 from tributary.operators import alerts as A
@@ -30,9 +31,9 @@ from tributary.operators.validate import canonicalize, parse_wire, quarantine_ro
 from tributary.plans import flow
 from tributary.plans.oracle import breaker_steps, near, round_even, sql
 from tributary.schema import PAYLOADS, STAGES
-from tributary.session import shared_folder, use_engine_settings
+from tributary.session import shared_folder, shuffled_by, use_engine_settings
 from tributary.sources.streams import read_raw_events, stage_messages, write_stage
-from tributary.sources.tables import patients, table, wire_events
+from tributary.sources.tables import patients, spread_partitions, table, wire_events
 from tributary.streaming.kpis import open_alerts_by_severity, run_model_stats, run_open_alerts, stored_model_stats
 from tributary.streaming.replay import REPLAYS, marked_quarantine, replayed_messages, run_replays
 from tributary.streaming.snapshot import run_latest_features, stored_latest_features
@@ -1556,18 +1557,22 @@ def _stream_replayed(spark, sf) -> str:
     def run(folder: str) -> None:
         wire_events(spark, sf).write.parquet(f"{folder}/messages")
         raw = spark.readStream.schema("value string, arrival_time timestamp").parquet(f"{folder}/messages")
-        run_quarantine(raw, folder, f"{folder}/checkpoint-quarantine", flow.WIDE).awaitTermination()
         # Nothing is replayed yet; the query is started again below with both sources.
         spark.createDataFrame([], REPLAYS).withColumn("batch_id", F.lit(-1)).write.parquet(f"{folder}/replays")
-        held = spark.read.parquet(f"{folder}/quarantine").filter(F.col("failure_code") == "CLOCK_SKEW")
-        asked = held.select("id", F.timestamp_micros(us("created_at") + 3_600_000_000).alias("requested_at"))
-        asked = asked.unionByName(asked.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == 0))
-        for _ in range(2):
+
+        def events() -> StreamingQuery:
             source = raw.unionByName(replayed_messages(spark, folder))
-            run_events(source, folder, f"{folder}/checkpoint", flow.fixed_scorers(), flow.WIDE, flow.with_fixed_raw).awaitTermination()
-            if asked is not None:
-                run_replays(*_dealt(spark, folder, {"requests": (asked, "id")}), folder, f"{folder}/checkpoint-replays").awaitTermination()
-                asked = None
+            return run_events(source, folder, f"{folder}/checkpoint", flow.fixed_scorers(), flow.WIDE, flow.with_fixed_raw)
+
+        with shuffled_by(spark, spread_partitions(table(spark, sf, "events"))):
+            refused = run_quarantine(raw, folder, f"{folder}/checkpoint-quarantine", flow.WIDE)
+            events().awaitTermination()
+            refused.awaitTermination()
+            held = spark.read.parquet(f"{folder}/quarantine").filter(F.col("failure_code") == "CLOCK_SKEW")
+            asked = held.select("id", F.timestamp_micros(us("created_at") + 3_600_000_000).alias("requested_at"))
+            asked = asked.unionByName(asked.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == 0))
+            run_replays(*_dealt(spark, folder, {"requests": (asked, "id")}), folder, f"{folder}/checkpoint-replays").awaitTermination()
+            events().awaitTermination()
 
     return flow.written_folder(spark, sf, "stream-replay", run)
 
@@ -1597,7 +1602,8 @@ def stream_open_alerts_query(spark, sf):
     folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-open"
     raised = flow.alerts(spark, sf).select("id", "severity", "status", "event_id", "created_at")
     streams = _dealt(spark, folder, {"alerts": (raised, "id"), "commands": (flow.commands(raised), "command_id")})
-    run_open_alerts(*streams, f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
+    with shuffled_by(spark, spread_partitions(raised)):
+        run_open_alerts(*streams, f"{folder}/changes", f"{folder}/checkpoint").awaitTermination()
     return open_alerts_by_severity(spark, f"{folder}/changes")
 
 
@@ -1664,7 +1670,8 @@ def stream_alert_lifecycle_query(spark, sf):
         rows.repartition(4, key).write.parquet(f"{folder}/{name}")
         reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
         streams.append(reader.parquet(f"{folder}/{name}"))
-    run_alert_lifecycle(*streams, f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
+    with shuffled_by(spark, spread_partitions(raised)):
+        run_alert_lifecycle(*streams, f"{folder}/states", f"{folder}/checkpoint").awaitTermination()
     return alert_states(spark, f"{folder}/states").select(
         "id",
         "status",
