@@ -1,10 +1,11 @@
 """Work per message is dealt to many tasks by rows, however few bytes or files the tables have."""
 
 import os
+import re
 
 from pyspark.sql import functions as F
 
-from tributary.plans import flow
+from tributary.plans import flow, queries
 from tributary.sources import tables
 
 
@@ -40,3 +41,17 @@ def test_state_of_streams_is_dealt_by_rows(spark, sf, monkeypatch):
     assert len(stores) == wanted != int(before)
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     assert spark.read.parquet(f"{folder}/accepted").count() == flow.accepted(spark, sf).count()
+
+
+def test_state_of_replays_is_dealt_by_rows(spark, sf):
+    folder, wanted = queries._stream_replayed(spark, sf), tables.spread_partitions(tables.table(spark, sf, "events"))
+    for checkpoint in ("checkpoint", "checkpoint-replays"):
+        stores = [name for name in os.listdir(f"{folder}/{checkpoint}/state/0") if name.isdigit()]
+        assert len(stores) == wanted != int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_history_as_of_arrival_is_dealt_by_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 90)
+    wanted = tables.spread_partitions(tables.table(spark, sf, "events"))
+    plan = queries.QUERIES["history_as_of_arrival"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(rf"RepartitionByExpression \[history_key#\d+, event_type#\d+, _slice#\d+L?\], {wanted}\b", plan)

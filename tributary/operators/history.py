@@ -163,7 +163,9 @@ def with_history(
     return ranged.select(*columns, history.alias("history"))
 
 
-def with_history_as_of_arrival(events: DataFrame, window_ms: int, measures: list[Measure] | None = None) -> DataFrame:
+def with_history_as_of_arrival(
+    events: DataFrame, window_ms: int, measures: list[Measure] | None = None, partitions: int | None = None
+) -> DataFrame:
     """Like ``with_history``, but a window holds only what had arrived when its event did.
 
     An event at time t sees the events of its patient and type in [t - w, t] that come no later in the order of
@@ -175,6 +177,9 @@ def with_history_as_of_arrival(events: DataFrame, window_ms: int, measures: list
     numbered by arrival, and the numbers are halved again and again: at each level, a row in the left
     half of a node adds to the rows in the right half, where arrival is settled and a running frame over time is left. Two rows meet
     at exactly one level. A slice of n rows costs n log n narrow rows, spread over its nodes; no list of a window is built.
+
+    ``partitions`` deals the slices to so many tasks. Left out, adaptive execution sets tasks by the few bytes of the rows before
+    they are multiplied by their levels, so that a task's memory grows with the table.
     """
     measures = measures or vital_and_bed_measures()
     patient = first_non_blank(F.col("patient_id"))
@@ -197,6 +202,8 @@ def with_history_as_of_arrival(events: DataFrame, window_ms: int, measures: list
             "_pos": F.when(F.col("_own"), F.col("_at")).otherwise(F.col("_at") + window_ms),
         }
     )
+    if partitions:
+        sent = sent.repartition(partitions, *ENTITY, "_slice")
     cell = Window.partitionBy(*ENTITY, "_slice")
     numbered = sent.withColumns(
         {

@@ -392,7 +392,8 @@ def history_as_of_arrival_query(spark, sf):
     put_off = flow.accepted(spark, sf).withColumn(
         "arrival_time", F.timestamp_micros(us("arrival_time") + hours * 3_600_000_000)
     )
-    return with_history_as_of_arrival(put_off, flow.WIDE.window_ms).select(
+    tasks = spread_partitions(table(spark, sf, "events"))
+    return with_history_as_of_arrival(put_off, flow.WIDE.window_ms, partitions=tasks).select(
         "event_id",
         F.col("history.events").alias("events"),
         F.when(F.col("history.hr_n") > 0, six(hr_mean())).alias("hr_mean"),
