@@ -280,3 +280,15 @@ def test_risk_model_separates(spark):
     got = df.select("event_id", S.score_risk(model).alias("s")).collect()
     assert dict((r[0], r[1]) for r in got)["far"]["label"] == "elevated_risk"
     assert model.weights[0] > 0 > model.weights[1]
+
+
+def test_predictions_are_worked_out_once_per_event(spark):
+    """No filter below the generator holds the expression once more, and no field of a prediction looks its call up again."""
+    calls = "map<string,struct<latency_ms:double,failed:boolean,breaker_open:boolean>>"
+    called = vectors(spark, [("e", "patient_vital", {})]).withColumn("calls", F.lit(None).cast(calls))
+    rows = S.prediction_rows(S.predict(called, S.scorers()))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert not [line for line in filters if "anomaly_detector" in line]
+    routed = sum(len(names) for names in dict(Registry().routing).values())
+    assert plan.count("try_element_at(") + plan.count("element_at(calls") <= 2 * routed

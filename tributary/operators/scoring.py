@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tributary.functions.columns import built_once, capped, flag_number, number, sigmoid, stable_id
+from tributary.functions.columns import built_once, capped, flag_number, number, settled, sigmoid, stable_id
 from tributary.operators.registry import FALLBACK_TIMEOUT_MS, REGISTRY, Model, Registry, model_hash
 
 # Cut-offs, weights, confidences and input defaults of the built-in scorers.
@@ -220,30 +220,60 @@ def _prediction(model: Model, status: Column, score: Column | None, latency: Col
     )
 
 
-def _outcome(model: Model, limit_ms: int, available: Scorers, calls: Column | None) -> tuple[Column, Column]:
+def _outcome_column(model: Model, limit_ms: int) -> str:
+    return f"_outcome_{model.name}_{limit_ms}"
+
+
+@built_once
+def _outcome_columns(registry: Registry) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The logged call and the (status, latency) of every call that a routed model or its fallback makes.
+
+    They are columns of their own, call first: each field of a prediction asks for them, and as expressions they would be
+    worked out from the log again for every field.
+    """
+    kinds: dict[tuple[Model, int], list[str]] = {}
+    for event_type, _ in registry.routing:
+        for m in registry.routed(event_type):
+            kinds.setdefault((m, m.timeout_ms), []).append(event_type)
+            fallback = registry.find(m.fallback)
+            if fallback is not None:
+                kinds.setdefault((fallback, FALLBACK_TIMEOUT_MS), []).append(event_type)
+    logged, outcomes = {}, {}
+    for (m, limit_ms), types in kinds.items():
+        name = _outcome_column(m, limit_ms)
+        logged[f"_call{name}"] = F.when(F.col("event_type").isin(*types), F.try_element_at("calls", F.lit(m.name)))
+        call = F.col(f"_call{name}")
+        # A call beyond its limit was cut off there, so it took no longer.
+        outcomes[name] = F.struct(
+            classify_outcome(call["latency_ms"], call["failed"], call["breaker_open"], limit_ms).alias("status"),
+            F.when(call["latency_ms"].isNotNull(), F.least(call["latency_ms"], F.lit(float(limit_ms)))).alias("latency"),
+        )
+    return logged, outcomes
+
+
+def _outcome(model: Model, limit_ms: int, available: Scorers, logged: bool) -> tuple[Column, Column]:
     """(status, latency) of one call; without a log every reachable model answers at once."""
     if model.name not in available:
         return F.lit("circuit_open"), F.lit(0.0)
-    if calls is None:
+    if not logged:
         return F.lit("success"), F.lit(0.0)
-    call = F.try_element_at(calls, F.lit(model.name))
-    # A call beyond its limit was cut off there, so it took no longer.
-    return (
-        classify_outcome(call["latency_ms"], call["failed"], call["breaker_open"], limit_ms),
-        F.when(call["latency_ms"].isNotNull(), F.least(call["latency_ms"], F.lit(float(limit_ms)))),
-    )
+    outcome = F.col(_outcome_column(model, limit_ms))
+    return outcome["status"], outcome["latency"]
+
 
+def resolve_fallback(model: Model, registry: Registry, available: Scorers, logged: bool) -> Column:
+    """The model's prediction, or its fallback's in its place when the call did not succeed.
 
-def resolve_fallback(model: Model, registry: Registry, available: Scorers, calls: Column | None) -> Column:
-    """The model's prediction, or its fallback's in its place when the call did not succeed."""
-    outcome, latency = _outcome(model, model.timeout_ms, available, calls)
+    ``logged``: the outcomes of the calls are columns (``_outcome_columns``).
+    """
+    outcome, latency = _outcome(model, model.timeout_ms, available, logged)
     score = available[model.name]() if model.name in available else None
     answer = F.lit("shadow" if model.shadow else "fallback" if model.name == "threshold_detector" else "success")
     own = _prediction(model, F.when(outcome == "success", answer).otherwise(outcome), score, latency)
     fallback = registry.find(model.fallback)
     if fallback is None:
         return own
-    fb_outcome, fb_latency = _outcome(fallback, FALLBACK_TIMEOUT_MS, available, calls)
+    fb_outcome, fb_latency = _outcome(fallback, FALLBACK_TIMEOUT_MS, available, logged)
     fb_answer = F.lit("fallback" if fallback.name == "threshold_detector" else "success")
     other = _prediction(
         fallback,
@@ -265,17 +295,20 @@ def predict(
 
     With a ``calls`` column (see ``attach_call_log``) the logged outcomes decide about fallbacks.
     """
-    routed = _predictions(tuple(available.items()), registry, "calls" in vectors.columns)
-    return vectors.withColumn("predictions", routed).withColumn("inference_status", inference_status())
+    columns, logged = vectors.columns, "calls" in vectors.columns
+    if logged:
+        calls, outcomes = _outcome_columns(registry)
+        vectors = vectors.withColumns(calls).withColumns(outcomes)
+    routed = _predictions(tuple(available.items()), registry, logged)
+    return vectors.select(*columns, routed.alias("predictions")).withColumn("inference_status", inference_status())
 
 
 @built_once
 def _predictions(available: tuple[tuple[str, Callable[[], Column]], ...], registry: Registry, logged: bool) -> Column:
     by_type = F.expr(f"cast(array() as array<{PREDICTION_TYPE}>)")
-    calls = F.col("calls") if logged else None
     for event_type, _ in registry.routing:
         entries = [
-            resolve_fallback(m, registry, dict(available), calls).cast(PREDICTION_TYPE)
+            resolve_fallback(m, registry, dict(available), logged).cast(PREDICTION_TYPE)
             for m in registry.routed(event_type)
         ]
         if entries:
@@ -291,8 +324,12 @@ def inference_status() -> Column:
 
 
 def prediction_rows(scored: DataFrame) -> DataFrame:
-    """Predictions as table rows with deterministic ids."""
-    rows = scored.select("event_id", "arrival_time", F.posexplode("predictions").alias("position", "p"))
+    """Predictions as table rows with deterministic ids.
+
+    Spark adds a filter on arrays that a generator reads; below it the whole expression of the predictions would run twice.
+    """
+    whole = settled(scored.select("event_id", "arrival_time", "predictions"))
+    rows = whole.select("event_id", "arrival_time", F.posexplode("predictions").alias("position", "p"))
     return rows.select(
         stable_id("prediction", F.col("event_id"), F.col("position").cast("string")).alias("id"),
         "event_id",
