@@ -231,3 +231,17 @@ def test_times_are_read_as_python_reads_them(spark):
         if us != expected or (said != error and t):
             wrong.append((t, us, expected, said, error))
     assert not wrong
+
+
+def test_payload_values_are_converted_once(spark):
+    """Bounds and required fields ask for a value several times; none of them converts it from the message again."""
+    name, limit = "spark.sql.debug.maxToStringFields", "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        plan = check_events(raw_rows(spark, [change()]))._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    gets = plan.count("payload[respiratory_rate]")
+    assert 0 < gets <= 6, gets
+    assert int(spark.conf.get(limit)) <= 8000  # above, methods are interpreted

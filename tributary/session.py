@@ -33,9 +33,13 @@ def use_engine_settings(spark: SparkSession) -> None:
 
     State of streams lives in RocksDB, on disk, and only its changes go to the checkpoint, so a micro-batch's cost does not
     grow with the state. A query keeps the store it was started with.
+
+    The Java machine compiles no method above 8,000 bytecodes. Where whole-stage code has one (the checks of a message), it
+    would be interpreted for every row, so Spark is to make that stage's projections singly, in small methods.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     store = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
