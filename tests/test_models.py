@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tributary.operators.alerts import open_alerts
-from tributary.operators.forest import MAX_DEPTH, TREES, average_path, offset_shares, tree_rows, train_isolation_forest
+from tributary.operators.forest import MAX_DEPTH, TREES, _grow, average_path, offset_shares, tree_rows, train_isolation_forest
 from tributary.operators.models import model_list, predict_released, publish, releases, risk_gradient, stored_models, train_release
 from tributary.operators.scoring import FOREST_INPUTS, RISK_INPUTS, RiskModel, model_inputs
 from tributary.plans import flow
@@ -113,3 +113,11 @@ def test_alerts_of_trained_models(spark, sf):
     got = {r.id: r.dedup_key for r in QUERIES["trained_alerts"](spark, sf).collect()}
     assert got == {r.id: r.dedup_key for r in open_alerts(decided).collect()}
     assert got and len(set(got.values())) == len(got)
+
+
+def test_a_split_between_neighbouring_doubles_leaves_rows_on_both_sides():
+    low = 1.0 + 2.0**-52
+    rows = np.array([[low], [np.nextafter(low, 2.0)], [low]])
+    for seed in range(100):
+        nodes = _grow(rows, np.random.default_rng(seed))
+        assert nodes[0][0] == 0 and sorted(n[5] for n in nodes) == [1, 2, 3]

@@ -67,7 +67,9 @@ def _grow(rows: np.ndarray, rng: np.random.Generator) -> list[tuple]:
             nodes.append([-1, 0.0, -1, -1, depth + average_path(len(part)), len(part)])
             continue
         column = int(rng.choice(usable))
-        cut = float(rng.uniform(part[:, column].min(), part[:, column].max()))
+        low, high = part[:, column].min(), part[:, column].max()
+        # Between neighbouring doubles the draw can round up to the highest value, which would leave nothing to the right.
+        cut = float(min(rng.uniform(low, high), np.nextafter(high, low)))
         nodes.append([column, cut, -1, -1, 0.0, len(part)])
         goes_left = part[:, column] <= cut
         todo.append((part[~goes_left], depth + 1, index, True))
