@@ -55,3 +55,14 @@ def test_history_as_of_arrival_is_dealt_by_rows(spark, sf, monkeypatch):
     wanted = tables.spread_partitions(tables.table(spark, sf, "events"))
     plan = queries.QUERIES["history_as_of_arrival"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(rf"RepartitionByExpression \[history_key#\d+, event_type#\d+, _slice#\d+L?\], {wanted}\b", plan)
+
+
+def test_stage_tables_are_dealt_by_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(tables, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(flow, "_WRITTEN", {})
+    wanted = tables.spread_partitions(tables.table(spark, sf, "events"))
+    names = ("spark.sql.files.minPartitionNum", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(name, None) for name in names]
+    for stage in (flow.checked, flow.accepted, flow.vectors):
+        assert len(stage(spark, sf).inputFiles()) == wanted, stage.__name__
+    assert [spark.conf.get(name, None) for name in names] == before

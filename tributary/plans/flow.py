@@ -24,7 +24,7 @@ from tributary.operators.models import predict_released, publish, releases, trai
 from tributary.operators.registry import REGISTRY, route_models
 from tributary.operators.scoring import RiskModel, attach_call_log, forest_column, predict, prediction_rows, scorers
 from tributary.operators.validate import check_events, quarantine_rows, valid_events
-from tributary.session import shared_folder, shuffled_by
+from tributary.session import dealt_by_rows, shared_folder, shuffled_by
 from tributary.settings import DEFAULTS
 from tributary.sources.tables import spread_partitions, table, wire_events
 from tributary.streaming.stages import run_alerts, run_events, run_quarantine
@@ -56,23 +56,26 @@ def source_state(spark: SparkSession, sf_dir: str) -> str:
 
 
 def stage_table(
-    spark: SparkSession, sf_dir: str, stage: str, build: Callable[[], DataFrame], order: str = "arrival_time"
+    spark: SparkSession, sf_dir: str, stage: str, build: Callable[[], DataFrame], order: str | None = "arrival_time"
 ) -> DataFrame:
-    """The stage as a written table of this session; built on first use.
+    """The stage as a written table of this session; built on first use, in tasks dealt by the rows of ``events``.
 
-    Each file is sorted by time, so a report on the last minute or hour skips the row groups outside it.
+    Each file is sorted by time, so a report on the last minute or hour skips what is outside it. Tables that are only
+    read whole have no ``order``.
     """
     key = (spark.sparkContext.applicationId, source_state(spark, sf_dir), stage)
     if key not in _WRITTEN:
         path = f"{shared_folder(spark)}/{key[0]}/{uuid.uuid4().hex}-{stage}"
-        build().sortWithinPartitions(order).write.parquet(path)
+        with dealt_by_rows(spark, spread_partitions(table(spark, sf_dir, "events"))):
+            rows = build()
+            (rows.sortWithinPartitions(order) if order else rows).write.parquet(path)
         _WRITTEN[key] = path
     return spark.read.parquet(_WRITTEN[key])
 
 
 def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written once, so that accepted events and quarantine do not parse every message twice."""
-    return stage_table(spark, sf_dir, "checked", lambda: check_events(wire_events(spark, sf_dir)))
+    return stage_table(spark, sf_dir, "checked", lambda: check_events(wire_events(spark, sf_dir)), None)
 
 
 def valid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +155,7 @@ def trained_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         sf_dir,
         "trained",
         lambda: decide(predict_released(vectors(spark, sf_dir), releases(spark, model_folder(spark, sf_dir)))),
-        "created_at",
+        None,
     )
 
 
@@ -194,9 +197,7 @@ def replayed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def replayed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replay's calls under breakers with the default threshold and reset."""
-    return stage_table(
-        spark, sf_dir, "replayed", lambda: call_outcomes(replayed_log(spark, sf_dir)), "called_at"
-    )
+    return stage_table(spark, sf_dir, "replayed", lambda: call_outcomes(replayed_log(spark, sf_dir)), None)
 
 
 def scored_with_calls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,31 @@ def shuffled_by(spark: SparkSession, partitions: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def dealt_by_rows(spark: SparkSession, tasks: int) -> Iterator[None]:
+    """So many tasks for every scan and every shuffle of the actions inside.
+
+    Spark packs up to 128 MB of files into a map task and merges shuffle partitions up to 64 MB, so a task that sorts wide rows
+    holds more of them the larger the tables are, and spills. Tasks set by rows hold the same at any size.
+    """
+    wanted = {
+        "spark.sql.files.minPartitionNum": str(tasks),
+        "spark.sql.shuffle.partitions": str(tasks),
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
