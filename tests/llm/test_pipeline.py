@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import corpus_pipeline
+import pyarrow as pa
 from tributary.llm import pii, simhash, simhash_similar
 from tributary.llm.queries import QUERIES
 
@@ -39,6 +40,24 @@ def test_copies_by_fingerprint_and_by_sets(spark, sf):
     assert {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, sf).collect()} == {1, 3, 5, 6}
 
 
+def test_stages_bound_the_rows_and_bytes_of_a_batch(spark, sf):
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "if(id < 1500, repeat('word ', 2000), 'a b c') AS text", "9 AS n_chars")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    before = {name: spark.conf.get(name) for name in corpus_pipeline.BATCH}
+    try:
+        out = corpus_pipeline.drop_personal_data(spark, docs, sf)
+        found = [(r.rows, r.bytes) for r in out.mapInArrow(sizes, "rows long, bytes long").collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert sum(n for n, _ in found) == 3000
+    assert max(n for n, _ in found) <= 1000 and max(n for _, n in found) < 5_000_000
+
+
 def test_entry_without_the_subpackage():
     code = "import sys; sys.modules['tributary.llm'] = None\ntry:\n import tributary.llm\nexcept ModuleNotFoundError as e:\n print(e.name)"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=".").stdout.strip() == "tributary.llm"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -49,6 +50,12 @@ def free(*settled_rows: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let_go(df: DataFrame) -> None:
+    """Spark removes shuffle files once the driver's JVM has collected what refers to them; in a loop of small jobs that may be never."""
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+
+
 def shared_folder(df: DataFrame) -> str:
     """The folder behind ``settled``, as Spark names it; asks for it once so that it exists."""
     context = df.sparkSession.sparkContext

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import free, settled
+from tributary.llm.common import free, let_go, settled
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -36,5 +36,6 @@ def components(links: DataFrame) -> DataFrame:
         free(links)
         links = made
         before, mark = mark, _mark(links)
+    let_go(links)
     roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
